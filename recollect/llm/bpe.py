@@ -228,24 +228,28 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) without moving the ids between processes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def both(batches):
         own = codec(path, pattern)
         for batch in batches:
             column = T.text_column(batch, text_col)
             for lo, hi in T.slices(column):
-                n, coded, decoded = [], [], []
+                n, coded, decoded, every = [], [], [], []
                 for text in column.slice(lo, hi - lo).to_pylist():
                     pieces = own.pieces(text)
                     ids = list(chain.from_iterable([p[0] for p in pieces]))
                     n.append(len(ids))
                     coded.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                    if with_ids:
+                        every.append(np.array(ids, np.int32))
+                more = [pa.array(every, pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string()), *more], names
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(id_col, text_col).mapInArrow(both, schema)

@@ -32,6 +32,7 @@ DIM = 4096
 PER_LANGUAGE = 1000
 CLUSTERS = 3
 SLACK = 0.1
+ROOM = 2.5
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -132,7 +133,7 @@ def fit(counts: np.ndarray, langs: np.ndarray, clusters: int = CLUSTERS, slack:
             owner.append(k)
             long = mine & (grams[own] >= np.median(grams[own]))
             radius.append((dist[long].max() if long.any() else dist[mine].max()) + slack)
-            spread.append(max(0.0, float(((dist[mine] - radius[-1]) * root[mine]).max())) + 1.0)
+            spread.append(max(0.0, float(((dist[mine] - radius[-1]) * root[mine]).max())) + ROOM)
     model.centers, model.owner = np.stack(centers), np.array(owner)
     model.radius, model.spread = np.array(radius), np.array(spread)
     return model

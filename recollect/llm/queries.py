@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_topk, language_id, line_dedup, sharding
+from . import bpe, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, sharding
 from ._spark import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), size=5, percent=80)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
         "op7_sharding": op7_sharding,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_exact_topk": op9_exact_topk,
         "op10_decontamination": op10_decontamination,
     }
