@@ -8,10 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, sharding
+from . import bpe, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, quality, sharding, surrogates, toxicity
 from ._spark import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+SURROGATE_KEY = "registered-query"  # a deployment passes a secret of its own
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = language_id.fold("doc_id", 5) == 0
+    scored = toxicity.score(docs, toxicity.train(docs, labels.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +70,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_surrogates": op2_surrogates,
+        "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
