@@ -7,9 +7,10 @@ link when 100 * intersection >= percent * union.  A class is a connected compone
 the links; it is named by its smallest document id.
 
 1. Documents with equal sets become one node, so copies are never paired.
-2. Sure links first: nodes that agree in a band of one-permutation minima point at one
-   of their band, and those pairs that truly link are contracted.  This only saves work
-   in groups of near copies; a pair it misses is found in step 3 or 4.
+2. Sure links first: nodes that agree in a band of one-permutation minima are compared
+   with the band's head, drawn anew in each of `TURNS` turns, and those that truly link
+   are contracted.  This only saves work in groups of near copies; a pair it misses is
+   found in step 3 or 4.
 3. Light nodes (at most `boundary` shingles): all subsets of the fixed size that two
    linked sets of given sizes must share are enumerated; an equal subset is a link.
 4. Heavy nodes: inverted lists over the necessary prefix of each set, rarest shingles
@@ -48,6 +49,7 @@ BITMAP_BITS = 1 << 23
 MOST_LIGHT = 12
 VERIFY_COST = 3.0
 PAIR_BATCH = 64
+TURNS = 5
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int):
@@ -251,14 +253,37 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     return materialize(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
 
 
-def _band_pairs(nodes: DataFrame) -> DataFrame:
-    """For each node the node of its bands that it agrees with most."""
-    bands = F.array(*[F.when((F.col(f"m{j}") != 0) & (F.col(f"m{j + 1}") != 0), F.xxhash64(F.lit(j), f"m{j}", f"m{j + 1}")) for j in range(0, BINS, 2)])
-    rows = nodes.select("node", F.explode(bands).alias("band")).filter("band is not null")
-    heads = materialize(rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", "head"))
-    agree = rows.join(heads, "band").filter("head < node").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
-    best = agree.groupBy("node").agg(F.max(F.struct("c", "head")).alias("best"))
-    return best.select(F.col("best.head").alias("a"), F.col("node").alias("b"))
+def _head_pairs(banded: DataFrame, classed: DataFrame, turn: int) -> DataFrame:
+    """For each node that agrees in a band with a head of another class: the head it agrees with most.
+
+    A band's head is drawn anew each turn, so a node that doesn't link with one member of a group meets another.
+    """
+    order = F.xxhash64(F.lit(turn), "node")
+    rows = banded.join(classed.select("node", "class"), "node")
+    heads = rows.groupBy("band").agg(F.min_by("node", order).alias("head"), F.min_by("class", order).alias("head_class"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    heads = materialize(heads.filter("lo <> hi").select("band", "head", "head_class"))
+    agree = rows.join(heads, "band").filter("class <> head_class").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
+    best = agree.groupBy("node").agg(F.max_by("head", "c").alias("head"))
+    return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, classed: DataFrame) -> DataFrame:
+    """Pairs whose nodes are in different classes x, y now."""
+    a = classed.select(F.col("node").alias("a"), F.col("class").alias("x"))
+    b = classed.select(F.col("node").alias("b"), F.col("class").alias("y"))
+    return pairs.join(a, "a").join(b, "b").filter("x <> y")
+
+
+def _contract(classed: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after uniting those that linked nodes (a, b) belong to."""
+    a = classed.select(F.col("node").alias("a"), F.col("class").alias("x"))
+    b = classed.select(F.col("node").alias("b"), F.col("class").alias("y"))
+    roots = components(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if roots is None:
+        return classed
+    roots = materialize(roots.withColumnRenamed("node", "class"))
+    joined = classed.join(roots, "class", "left").select("node", "n", "least_doc", F.coalesce("root", "class").alias("class"))
+    return materialize(joined)
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,14 +298,16 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     small = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
     boundary = choose_boundary(small, percent)
 
-    sure = _verify(docs, nodes, _band_pairs(nodes), size, percent)
-    first = components(sure)
-    if first is None:
-        classed = nodes.select("node", "n", "least_doc", F.col("node").alias("class"))
-    else:
-        first = materialize(first)
-        classed = nodes.join(first, "node", "left").select("node", "n", "least_doc", F.coalesce("root", "node").alias("class"))
-    classed = materialize(classed)
+    bands = F.array(*[F.when((F.col(f"m{j}") != 0) & (F.col(f"m{j + 1}") != 0), F.xxhash64(F.lit(j), f"m{j}", f"m{j + 1}")) for j in range(0, BINS, 2)])
+    banded = nodes.select("node", F.explode(bands).alias("band")).filter("band is not null")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
+    banded = materialize(banded.join(shared, "band"))
+    classed = materialize(nodes.select("node", "n", "least_doc", F.col("node").alias("class")))
+    for turn in range(TURNS):
+        drawn = materialize(_head_pairs(banded, classed, turn))
+        if drawn.isEmpty():
+            break
+        classed = _contract(classed, _verify(docs, nodes, drawn, size, percent))
 
     coded = _prefixes(docs, frequent, size, percent, boundary).filter("n > 0").join(classed.drop("n"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least_doc")))
     coded = materialize(coded.select("node", "n", "class", "tokens", "keys", "kinds"))
@@ -301,14 +328,14 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         & (F.col("a_pos") + F.col("b_pos") <= total - 2 * need)
     )
-    pairs = a.join(b, near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    more = _verify(docs, nodes, pairs, size, percent)
-
-    second = components(sure.union(more).union(subset_links))
-    if second is None:
-        named = nodes.select("node", F.col("least_doc").alias("component_id"))
-    else:
-        rooted = materialize(nodes.select("node", "least_doc").join(second, "node", "left").select("node", "least_doc", F.coalesce("root", "node").alias("root")))
-        least = materialize(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")))
-        named = materialize(rooted.join(least, "root").select("node", "component_id"))
+    pairs = a.join(b, near).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = materialize(pairs)
+    classed = _contract(classed, subset_links)
+    # Of a node's pairs with one class, first the likeliest: where it links, the others are settled.
+    likely = _between(pairs, classed).groupBy("a", "y").agg(F.max_by("b", "shared").alias("b")).select("a", "b")
+    classed = _contract(classed, _verify(docs, nodes, likely, size, percent))
+    classed = _contract(classed, _verify(docs, nodes, _between(pairs, classed).select("a", "b"), size, percent))
+
+    least = materialize(classed.groupBy("class").agg(F.min("least_doc").alias("component_id")))
+    named = materialize(classed.join(least, "class").select("node", "component_id"))
     return rows.join(named, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
