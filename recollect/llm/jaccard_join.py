@@ -17,12 +17,16 @@ the links; it is named by its smallest document id.
    first, are scanned with length, positional and class filters, and the surviving
    pairs of different classes of step 2 are verified on their whole sets.
 
+Before texts are fetched for a pair of step 2 or 4, its outlines are compared: the counts
+of a set's shingles by hash bucket.  Their distance never exceeds the number of shingles
+that only one set has, so a pair whose outlines are too far apart can't link.
+
 The boundary is the size with the lowest estimated cost of 3 and 4.  Nodes just below
 it also enter the lists, as a heavy partner may be that small.
 
-"Rarest first" is a total order: shingles seen often within scan tasks come last, in
-order of their count; others go by hash.  Any total order gives the same links; the
-`FREQUENT` most frequent shingles are the (bounded) table sent to the scan.
+"Rarest first" is a total order by a count and then by hash.  The count is that of all
+shingles of different sets (within a task) that share one of `COUNTERS` counters; it
+covers every document in a table of fixed size.  Any total order gives the same links.
 
 Nulls have no words.  Rows repeated under one id are rows of that id, answered alike.
 Rows with null ids take part but never name a class unless all ids are null.  Empty
@@ -31,6 +35,7 @@ tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from math import comb
 
@@ -44,7 +49,7 @@ from ._spark import materialize
 from .components import components
 
 BINS = 16
-FREQUENT = 1 << 16
+COUNTERS, COUNTER_SLICE = 1 << 22, 1 << 16
 BITMAP_BITS = 1 << 23
 MOST_LIGHT = 12
 VERIFY_COST = 3.0
@@ -126,18 +131,32 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
+def outline(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each bucket (255 at most); the number of buckets, a power of two, grows with the set."""
+    buckets = max(64, 1 << (len(s) // 4).bit_length())
+    place = (s & np.uint64(buckets - 1)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=buckets), 255).astype(np.uint8)
+
+
+def outline_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the number of shingles that only one of the two sets has."""
+    buckets = min(len(x), len(y))
+    x, y = (v.reshape(-1, buckets).sum(0, dtype=np.int64) for v in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """One row (kind 0) for each document: its set's name, size and minima; and rows (kind 1) of shingles that a task saw often."""
-    names = ["kind", "doc_id", "text_key", "node", "n", *[f"m{j}" for j in range(BINS)]]
+    """One row (kind 0) for each document: its set's name, size, minima and outline; and rows (kind 1) of a task's counters."""
+    names = ["kind", "doc_id", "text_key", "node", "n", *[f"m{j}" for j in range(BINS)], "packed"]
 
     def run(batches):
         edges = np.arange(BINS, dtype=np.uint64) << np.uint64(60)
+        counts, seen = np.zeros(COUNTERS, np.int64), {0}
+        held, held_n = [], 0
         for batch in batches:
             column = T.text_column(batch, "text")
-            often_keys, often_counts = [], []
-            held, held_n = [], 0
             for lo, hi in T.slices(column):
-                node, n = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+                node, n, packed = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), []
                 minima = np.zeros((BINS, hi - lo), np.int64)
                 for k, s in enumerate(shingle_sets(*T.flat(column, lo, hi), size)):
                     node[k], n[k] = set_name(s), len(s)
@@ -145,51 +164,68 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                     end = np.append(at[1:], len(s))
                     some = at < end
                     minima[some, k] = s[at[some]].view(np.int64)
-                    held.append(s)
-                    held_n += len(s)
-                if held_n > 4_000_000 or hi == len(column):
-                    keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                    often = counts >= 3
-                    often_keys.append(keys[often])
-                    often_counts.append(counts[often])
+                    packed.append(outline(s).tobytes())
+                    if node[k] not in seen:
+                        seen.add(int(node[k]))
+                        held.append(s & np.uint64(COUNTERS - 1))
+                        held_n += len(s)
+                if held_n > 1_000_000:
+                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
                     held, held_n = [], 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(node), pa.array(n), *[pa.array(m) for m in minima]], names
+                    [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(node), pa.array(n), *[pa.array(m) for m in minima], pa.array(packed, pa.binary())],
+                    names,
                 )
-            if often_keys:
-                keys, counts = np.concatenate(often_keys), np.concatenate(often_counts)
-                zero = pa.array(np.zeros(len(keys), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), zero, zero, pa.array(keys.view(np.int64)), pa.array(counts), *[zero] * BINS], names)
+        if held:
+            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+        keys, values = _pack(counts)
+        zero = pa.array(np.zeros(len(keys), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), zero, zero, pa.array(keys, pa.int64()), zero, *[zero] * BINS, pa.array(values, pa.binary())], names)
 
-    schema = "kind int, doc_id long, text_key long, node long, n long, " + ", ".join(f"m{j} long" for j in range(BINS))
+    schema = "kind int, doc_id long, text_key long, node long, n long, " + "".join(f"m{j} long, " for j in range(BINS)) + "packed binary"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
 
 
-class _Order:
-    """The total order of shingles: frequent ones last, by rank; others by hash."""
+def _pack(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The slices of a counter table that aren't all zero."""
+    rows = counts.reshape(-1, COUNTER_SLICE)
+    keys = np.flatnonzero(rows.any(1)).tolist()
+    return keys, [zlib.compress(rows[k].astype("<i8").tobytes(), 1) for k in keys]
+
+
+def _add_counters(parts: DataFrame) -> DataFrame:
+    """Sums of counter slices (node, packed); a partition holds one table, however many parts it reads."""
+
+    def run(batches):
+        counts = np.zeros((COUNTERS // COUNTER_SLICE, COUNTER_SLICE), np.int64)
+        for batch in batches:
+            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[key] += np.frombuffer(zlib.decompress(packed), "<i8")
+        keys, values = _pack(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["node", "packed"])
+
+    return parts.select("node", "packed").mapInArrow(run, "node long, packed binary")
+
+
+def _rarity(scanned: DataFrame) -> np.ndarray:
+    """The counters of all tasks on a fine logarithmic scale, in 16 bits each."""
+    parts = scanned.filter("kind = 1").select("node", "packed")
+    some = _add_counters(parts.repartition("node", F.pmod(F.xxhash64("packed"), F.lit(16))))
+    counts = np.zeros((COUNTERS // COUNTER_SLICE, COUNTER_SLICE), np.int64)
+    for r in _add_counters(some.repartition("node")).collect():  # one row for each slice
+        counts[r["node"]] = np.frombuffer(zlib.decompress(r["packed"]), "<i8")
+    return np.minimum(np.log2(1 + counts.ravel()) * 1500, 65535).astype(np.uint16)
 
-    def __init__(self, frequent: np.ndarray):
-        order = np.argsort(frequent)
-        self.keys, self.rank = frequent[order], order
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[frequent & np.uint64((1 << 20) - 1)] = True
 
-    def prefix(self, s: np.ndarray, length: int) -> np.ndarray:
-        maybe = np.flatnonzero(self.bits[s & np.uint64((1 << 20) - 1)])
-        if not len(maybe) or not len(self.keys):
-            return s[:length]
-        k = np.minimum(np.searchsorted(self.keys, s[maybe]), len(self.keys) - 1)
-        hit = self.keys[k] == s[maybe]
-        late, rank = maybe[hit], self.rank[k[hit]]
-        early = np.delete(s, late)
-        if len(early) >= length:
-            return early[:length]
-        return np.concatenate((early, s[late[np.argsort(rank)]]))[:length]
+def _prefix(s: np.ndarray, rarity: np.ndarray, length: int) -> np.ndarray:
+    """The first shingles of a sorted set in the total order."""
+    order = np.argsort(rarity[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+    return s[order[:length]]
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, boundary: int) -> DataFrame:
+def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int, boundary: int) -> DataFrame:
     """(doc_id, node, n, tokens of the prefix, subset keys and kinds)."""
-    sent = docs.sparkSession.sparkContext.broadcast(_Order(frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
         order = sent.value
@@ -201,7 +237,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, bo
                     node.append(set_name(s))
                     n.append(len(s))
                     scan = len(s) > 0 and 100 * len(s) > percent * boundary
-                    tokens.append(order.prefix(s, prefix_length(len(s), percent)).view(np.int64) if scan else None)
+                    tokens.append(_prefix(s, order, prefix_length(len(s), percent)).view(np.int64) if scan else None)
                     own = subset_keys(s, boundary, percent) if 0 < len(s) <= boundary else []
                     keys.append([k for k, _ in own])
                     kinds.append([k for _, k in own])
@@ -213,6 +249,21 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, bo
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, tokens array<long>, keys array<long>, kinds array<int>")
 
 
+def _plausible(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) of nodes whose sizes and outlines allow a link."""
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    ends = nodes.select("node", "n", "packed")
+    both = pairs.join(ends.toDF("a", "_n", "_x"), "a").join(ends.toDF("b", "_m", "_y"), "b").select(*kinds, "_n", "_m", "_x", "_y")
+
+    def test(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in range(len(kinds), len(kinds) + 4))
+            good = [outline_distance(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) <= i + j - 2 * overlap(i, j, percent) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(list(range(len(kinds)))).filter(pa.array(good, pa.bool_()))
+
+    return materialize(both.mapInArrow(test, ", ".join(f"{c} {t}" for c, t in kinds.items())))
+
+
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes that link, tested on their whole sets."""
     pairs = materialize(pairs)
@@ -292,9 +343,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     scanned = materialize(_scan(docs, size))
     rows = scanned.filter("kind = 0").select("doc_id", "text_key", "node", "n")
     minima = [F.min(f"m{j}").alias(f"m{j}") for j in range(BINS)]
-    nodes = materialize(scanned.filter("kind = 0 and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least_doc"), *minima))
-    often = scanned.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(FREQUENT).collect()
-    frequent = np.array([r["node"] for r in reversed(often)], np.int64).view(np.uint64)
+    nodes = materialize(scanned.filter("kind = 0 and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least_doc"), F.first("packed").alias("packed"), *minima))
+    rarity = _rarity(scanned)
     small = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
     boundary = choose_boundary(small, percent)
 
@@ -304,12 +354,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     banded = materialize(banded.join(shared, "band"))
     classed = materialize(nodes.select("node", "n", "least_doc", F.col("node").alias("class")))
     for turn in range(TURNS):
-        drawn = materialize(_head_pairs(banded, classed, turn))
+        drawn = _plausible(nodes, _head_pairs(banded, classed, turn), percent)
         if drawn.isEmpty():
             break
         classed = _contract(classed, _verify(docs, nodes, drawn, size, percent))
 
-    coded = _prefixes(docs, frequent, size, percent, boundary).filter("n > 0").join(classed.drop("n"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least_doc")))
+    coded = _prefixes(docs, rarity, size, percent, boundary).filter("n > 0").join(classed.drop("n"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least_doc")))
     coded = materialize(coded.select("node", "n", "class", "tokens", "keys", "kinds"))
     light = coded.select("node", F.explode(F.arrays_zip("keys", "kinds")).alias("k")).select("node", "k.keys", "k.kinds")
     heads = light.groupBy("keys").agg(F.min("node").alias("head"), F.bit_or("kinds").alias("sides"), F.count(F.lit(1)).alias("c"))
@@ -329,7 +379,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         & (F.col("a_pos") + F.col("b_pos") <= total - 2 * need)
     )
     pairs = a.join(b, near).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = materialize(pairs)
+    pairs = _plausible(nodes, pairs, percent)
     classed = _contract(classed, subset_links)
     # Of a node's pairs with one class, first the likeliest: where it links, the others are settled.
     likely = _between(pairs, classed).groupBy("a", "y").agg(F.max_by("b", "shared").alias("b")).select("a", "b")
