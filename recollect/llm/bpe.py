@@ -159,8 +159,6 @@ class BytePairCodec:
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't known yet."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         by_width: dict[int, list[str]] = {}
         for p in pieces:
             data = p.encode()
@@ -177,20 +175,18 @@ class BytePairCodec:
                 for p, ids in zip(part, self._encode_batch([p.encode() for p in part], width), strict=True):
                     self.cache[p] = (ids, ",".join(map(str, ids)))
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, ids as text) of every piece of a text."""
-        found = self.split(text)
+    def pieces_of(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
+        """(ids, ids as text) of every piece of each text; new pieces of all texts are encoded side by side."""
+        found = [self.split(t) for t in texts]
+        distinct = set().union(*found)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        self._learn(distinct.difference(self.cache))
         cache = self.cache
-        try:
-            return [cache[p] for p in found]
-        except KeyError:
-            self._learn({p for p in found if p not in cache})
-            if any(p not in self.cache for p in found):  # the cache was emptied meanwhile
-                self._learn({p for p in found if p not in self.cache})
-            return [self.cache[p] for p in found]
+        return [[cache[p] for p in own] for own in found]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return list(chain.from_iterable(ids for ids, _ in self.pieces_of([text])[0]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -210,7 +206,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in batches:
             column = T.text_column(batch, text_col)
             for lo, hi in T.slices(column):
-                ids = [own.encode(t) for t in column.slice(lo, hi - lo).to_pylist()]
+                ids = [list(chain.from_iterable(p[0] for p in pieces)) for pieces in own.pieces_of(column.slice(lo, hi - lo).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(encode, "doc_id long, ids array<int>")
@@ -238,8 +234,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             column = T.text_column(batch, text_col)
             for lo, hi in T.slices(column):
                 n, coded, decoded, every = [], [], [], []
-                for text in column.slice(lo, hi - lo).to_pylist():
-                    pieces = own.pieces(text)
+                for pieces in own.pieces_of(column.slice(lo, hi - lo).to_pylist()):
                     ids = list(chain.from_iterable([p[0] for p in pieces]))
                     n.append(len(ids))
                     coded.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
