@@ -14,8 +14,11 @@ the links; it is named by its smallest document id.
 3. Light nodes (at most `boundary` shingles): all subsets of the fixed size that two
    linked sets of given sizes must share are enumerated; an equal subset is a link.
 4. Heavy nodes: inverted lists over the necessary prefix of each set, rarest shingles
-   first, are scanned with length, positional and class filters, and the surviving
-   pairs of different classes of step 2 are verified on their whole sets.
+   first, are scanned with length, positional, class and sketch filters, and the
+   surviving pairs of different classes of step 2 are verified on their whole sets.
+   Lists within one class are dropped before.  A sketch holds the parity of a set's
+   shingles by hash bucket; two sketches differ in no more bits than there are shingles
+   that only one set has, so a list with many near misses makes few pairs.
 
 Before texts are fetched for a pair of step 2 or 4, its outlines are compared: the counts
 of a set's shingles by hash bucket.  Their distance never exceeds the number of shingles
@@ -51,6 +54,7 @@ from .components import components
 BINS = 16
 COUNTERS, COUNTER_SLICE = 1 << 22, 1 << 16
 BITMAP_BITS = 1 << 23
+SKETCH_WORDS = 8
 MOST_LIGHT = 12
 VERIFY_COST = 3.0
 PAIR_BATCH = 64
@@ -145,6 +149,13 @@ def outline_distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(x - y).sum())
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of 64 * SKETCH_WORDS buckets, as 64-bit words."""
+    place = (s >> np.uint64(20)) & np.uint64(64 * SKETCH_WORDS - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _scan(docs: DataFrame, size: int) -> DataFrame:
     """One row (kind 0) for each document: its set's name, size, minima and outline; and rows (kind 1) of a task's counters."""
     names = ["kind", "doc_id", "text_key", "node", "n", *[f"m{j}" for j in range(BINS)], "packed"]
@@ -224,7 +235,7 @@ def _prefix(s: np.ndarray, rarity: np.ndarray, length: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int, boundary: int) -> DataFrame:
-    """(doc_id, node, n, tokens of the prefix, subset keys and kinds)."""
+    """(doc_id, node, n, tokens of the prefix, subset keys and kinds, sketch)."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
@@ -232,7 +243,7 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int, boun
         for batch in batches:
             column = T.text_column(batch, "text")
             for lo, hi in T.slices(column):
-                node, n, tokens, keys, kinds = [], [], [], [], []
+                node, n, tokens, keys, kinds, sketches = [], [], [], [], [], []
                 for s in shingle_sets(*T.flat(column, lo, hi), size):
                     node.append(set_name(s))
                     n.append(len(s))
@@ -241,12 +252,13 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int, boun
                     own = subset_keys(s, boundary, percent) if 0 < len(s) <= boundary else []
                     keys.append([k for k, _ in own])
                     kinds.append([k for _, k in own])
+                    sketches.append(sketch(s) if scan else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))],
-                    ["doc_id", "node", "n", "tokens", "keys", "kinds"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+                    ["doc_id", "node", "n", "tokens", "keys", "kinds", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, tokens array<long>, keys array<long>, kinds array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, tokens array<long>, keys array<long>, kinds array<int>, sketch array<long>")
 
 
 def _plausible(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -360,23 +372,31 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         classed = _contract(classed, _verify(docs, nodes, drawn, size, percent))
 
     coded = _prefixes(docs, rarity, size, percent, boundary).filter("n > 0").join(classed.drop("n"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least_doc")))
-    coded = materialize(coded.select("node", "n", "class", "tokens", "keys", "kinds"))
+    coded = materialize(coded.select("node", "n", "class", "tokens", "keys", "kinds", "sketch"))
     light = coded.select("node", F.explode(F.arrays_zip("keys", "kinds")).alias("k")).select("node", "k.keys", "k.kinds")
     heads = light.groupBy("keys").agg(F.min("node").alias("head"), F.bit_or("kinds").alias("sides"), F.count(F.lit(1)).alias("c"))
     heads = materialize(heads.filter("sides = 3 and c > 1").select("keys", "head"))
     subset_links = light.join(heads, "keys").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
     posted = coded.filter("tokens is not null").select("node", "n", "class", F.posexplode("tokens").alias("pos", "token"))
-    a = posted.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "class", "pos")])
-    b = posted.select(F.col("token"), *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "class", "pos")])
+    lists = posted.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    lists = materialize(lists.filter("lo <> hi").select("token"))
+    words = [f"w{k}" for k in range(SKETCH_WORDS)]
+    sketches = coded.filter("tokens is not null").select("node", *[F.col("sketch")[k].alias(w) for k, w in enumerate(words)])
+    posted = materialize(posted.join(lists, "token").join(sketches, "node"))
+    fields = ("node", "n", "class", "pos", *words)
+    a = posted.select("token", *[F.col(c).alias(f"a_{c}") for c in fields])
+    b = posted.select("token", *[F.col(c).alias(f"b_{c}") for c in fields])
     total = F.col("a_n") + F.col("b_n")
-    need = F.ceil(total * percent / F.lit(100.0 + percent))
+    spare = total - 2 * F.ceil(total * percent / F.lit(100.0 + percent))  # the most shingles that only one of two linked sets has
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
     near = (
         (a["token"] == b["token"])
         & (F.col("a_node") < F.col("b_node"))
         & (F.col("a_class") != F.col("b_class"))
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        & (F.col("a_pos") + F.col("b_pos") <= total - 2 * need)
+        & (F.col("a_pos") + F.col("b_pos") <= spare)
+        & (apart <= spare)
     )
     pairs = a.join(b, near).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     pairs = _plausible(nodes, pairs, percent)

@@ -279,6 +279,31 @@ def test_jaccard_classes(spark, monkeypatch, boundary):
     assert got == classes_by_force(rows)
 
 
+def test_jaccard_lists_alone(spark, monkeypatch):
+    """Without the sure links of step 2, the lists find every link, at similarities on both sides of the bound."""
+    monkeypatch.setattr(jaccard_join, "TURNS", 0)
+    rng, rows = random.Random(17), []
+    for k in range(200):
+        base = random.Random(k % 8)
+        w = [f"w{base.randrange(5000)}" for _ in range(base.randrange(60, 700))]
+        for _ in range(rng.randrange(0, 1 + len(w) // 30)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(3000)}"
+        rows.append((k, " ".join(w)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect())
+    assert got == classes_by_force(rows)
+    assert 8 < len({c for _, _, c in got}) < 200
+
+
+def test_sketch_bound():
+    rng = np.random.default_rng(8)
+    for n in (1, 40, 900):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) < 0.8], rng.integers(0, 2**64, rng.integers(0, n), dtype=np.uint64)])
+            apart = sum(int(v).bit_count() for v in (jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_bounds(spark):
     assert jaccard_join.overlap(5, 5, 80) == 5 and jaccard_join.overlap(9, 9, 80) == 8
     assert list(jaccard_join.partner_sizes(5, 80)) == [4, 5, 6]
