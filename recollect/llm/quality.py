@@ -33,7 +33,7 @@ from ._spark import materialize
 ORDER = 4
 SHARD_CELLS = 1 << 24
 TRUSTED_SENT = 2_000_000
-QUANTILE, MARGIN = 0.99, 1.5
+QUANTILE, MARGIN = 0.99, 1.0
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x30:0x3A] = 0x30
 

@@ -90,6 +90,13 @@ def test_quality_without_trust(spark):
     assert quality.classify(empty(spark), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
+def test_quality_limit_is_the_quantile(spark):
+    docs = frame(spark, [(i, " ".join(random.Random(i).choices("alpha beta gamma delta".split(), k=30))) for i in range(30)] + [(40, "beta " * 30)])
+    trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
+    got = quality.classify(docs, trusted).collect()
+    assert {r.limit for r in got} == {max(r.perplexity for r in got if r.doc_id < 30)}
+
+
 # --- 2 surrogates ----------------------------------------------------------------------
 
 
