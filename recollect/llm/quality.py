@@ -1,7 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is of order 4 over UTF-8 bytes, each text preceded by three line ends; the
-digits are one symbol.  It is trained on all trusted documents (labels.quality = 1),
+`classify` scores by the word model of `word_model.py`.  `train` and `perplexities` are a
+model of order 4 over UTF-8 bytes, which `classify` does not use:
+
+Each text is preceded by three line ends; the digits are one symbol.  It is trained on all trusted documents (labels.quality = 1),
 never on a part of them: scan tasks count the n-grams of what they read, and the counts
 are summed per n-gram on the cluster.  Orders below the highest use continuation counts,
 and every order has its own three discounts from its counts of counts.
@@ -15,7 +17,7 @@ by the interpolated lower orders.  A document's perplexity is exp(-mean log p pe
 A document is kept if its perplexity is at most its language's limit, the
 `quantile` of the perplexities of trusted documents of that language times `margin`;
 languages without trusted documents, and rows without language, take the limit of all
-trusted documents.  Texts that are null or empty have no perplexity and aren't kept.
+trusted documents.  Texts that are null or hold no word have no perplexity and aren't kept.
 Without any trusted document nothing has a perplexity and nothing is kept.  Repeated
 rows are answered alike; extra columns are ignored; an empty table gives an empty result.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._spark import materialize
+from .word_model import WordModel, score
 
 ORDER = 4
 SHARD_CELLS = 1 << 24
@@ -217,10 +220,20 @@ def trusted_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "do
     return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("_id"), "left_semi")
 
 
+def marked(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """docs with `trusted`: whether the doc_id is trusted."""
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).filter("_id is not null").distinct()
+    few = ids.limit(TRUSTED_SENT + 1).count() <= TRUSTED_SENT
+    joined = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left")
+    return joined.withColumn("trusted", F.col("_id").isNotNull()).drop("_id")
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, limit, keep), one row for each input row."""
-    model = train(trusted_documents(docs, trusted_ids, id_col), text_col)
-    scored = materialize(perplexities(docs, model, id_col, text_col, lang_col))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source = source.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    model = WordModel(trusted_documents(source, trusted_ids, "doc_id").select("text", "half"))
+    scored = materialize(score(marked(source, trusted_ids), model))
     known = trusted_documents(scored, trusted_ids, "doc_id").filter("perplexity is not null")
     limit = (F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin).alias("limit")
     by_lang = known.filter("lang is not null").groupBy("lang").agg(limit)

@@ -1,0 +1,243 @@
+"""Perplexity under an interpolated modified Kneser-Ney model of word trigrams.
+
+Words are runs of letters and digits or runs of symbols, lower-cased (ASCII), all digits
+one symbol; a text stands between two start marks and an end mark.  All n-grams of all
+trusted documents are counted, so the model grows with the trusted text.
+
+The trusted documents are halved by a hash of their text and each half makes a model.  A
+trusted document is scored by the half it is not in, any other one by the mean
+log-probability of both; so trusted perplexities are those of texts not seen, and serve as limits.
+
+In back-off form log p(w | u, v) is a sum of values of single n-grams:
+    value(w) + context(v) + gain(v w) + context(u v) + gain(u v w),
+where an n-gram that the model lacks adds nothing (an unknown word adds the floor).  So a
+document's log-probability is the sum of its n-grams' values: an inner join of n-grams with
+values, dealt by the n-gram's hash.  The `HEAD` most frequent n-grams are sent to the tasks
+instead, which takes the hot keys out of the join; it bounds what is sent, not the model.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import _text as T
+from ._spark import materialize
+
+HEAD = 1 << 20
+HALVES = ("a", "b")
+OWN = ("row", "doc_id", "lang", "trusted", "half")
+_FOLD = T.LOWER.copy()
+_FOLD[0x30:0x3A] = 0x30
+_SYMBOL = T.SPACE_WORD & ~T.ALNUM_WORD
+_START, _END = T.U64(0x5354415254), T.U64(0x454E44)
+
+
+def _sequences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows, each row between two start marks and an end mark; the rows' offsets in it."""
+    b = _FOLD[raw]
+    found = [T.words(b, offsets, kind) for kind in (T.ALNUM_WORD, _SYMBOL)]
+    starts, lengths = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.argsort(starts, kind="stable")
+    hashes = T.word_hashes(b, starts[order], lengths[order])
+    before = found[0][2] + found[1][2]
+    n = np.diff(before)
+    at = before + 3 * np.arange(len(before))
+    out = np.full(int(at[-1]), _START, T.U64)
+    out[at[1:] - 1] = _END
+    out[np.arange(len(hashes)) + np.repeat(3 * np.arange(len(n)) + 2, n)] = hashes
+    return out, at
+
+
+def _keys(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per predicted word (end marks too): its row, and the keys of u v w, u v, v w, v, w."""
+    inside = np.ones(len(seq), bool)
+    inside[at[:-1]] = inside[at[:-1] + 1] = False
+    i = np.flatnonzero(inside)
+    one, two, three = (T.shingles(seq, k) for k in (1, 2, 3))
+    return np.repeat(np.arange(len(at) - 1), np.diff(at) - 2), [k.view(np.int64) for k in (three[i - 2], two[i - 2], two[i - 1], one[i - 1], one[i])]
+
+
+def _count(trusted: DataFrame, both: bool) -> DataFrame:
+    """(g3, gc, g2, a, b): trigrams, the bigrams that begin and end them, and their count in each half."""
+
+    def run(batches):
+        for batch in batches:
+            column, half = T.text_column(batch), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi in T.slices(column):
+                row, (three, gc, g2, _, _) = _keys(*_sequences(*T.flat(column, lo, hi)))
+                g3, first, back = np.unique(three, return_index=True, return_inverse=True)
+                in_b = half[lo:hi][row] == 1
+                counts = [np.bincount(back, None if both else side, len(g3)).astype(np.int64) for side in (~in_b, in_b)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g3, gc[first], g2[first], *counts)], ["g3", "gc", "g2", "a", "b"])
+
+    found = trusted.select("text", "half").mapInArrow(run, "g3 long, gc long, g2 long, a long, b long")
+    return found.groupBy("g3", "gc", "g2").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _bigram_words(trusted: DataFrame) -> DataFrame:
+    """(k, v, w): each bigram's words, once per slice of text."""
+
+    def run(batches):
+        for batch in batches:
+            column = T.text_column(batch)
+            for lo, hi in T.slices(column):
+                _, (_, _, g2, v, w) = _keys(*_sequences(*T.flat(column, lo, hi)))
+                k, first = np.unique(g2, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, v[first], w[first])], ["k", "v", "w"])
+
+    return trusted.select("text").mapInArrow(run, "k long, v long, w long")
+
+
+def _discounts(counts: DataFrame, cols: list[str]) -> list[np.ndarray]:
+    from .quality import discounts
+
+    tally = counts.agg(*(F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in cols for k in range(1, 5))).first()
+    return [discounts([0.0, *(float(tally[f"{c}{k}"]) for k in range(1, 5))]) for c in cols]
+
+
+def _off(count: Column, d: np.ndarray) -> Column:
+    return F.when(count >= 3, float(d[3])).when(count == 2, float(d[2])).when(count == 1, float(d[1])).otherwise(0.0)
+
+
+def _by(rows: DataFrame, ends: str, begins: str, d: list[np.ndarray], more: DataFrame | None = None) -> DataFrame:
+    """Per n-gram k: na, nb: kinds of longer n-grams that end in it; za, zb and ta, tb: discounts and counts of those it begins."""
+    zero = F.lit(0.0)
+    end = rows.select(F.col(ends).alias("k"), *((F.col(c) > 0).cast("long").alias(f"n{c}") for c in HALVES), *(zero.alias(f"{x}{c}") for c in HALVES for x in "zt"))
+    begin = rows.select(F.col(begins).alias("k"), *(F.lit(0).cast("long").alias(f"n{c}") for c in HALVES), *(e for c, dc in zip(HALVES, d, strict=True) for e in (_off(F.col(c), dc).alias(f"z{c}"), F.col(c).cast("double").alias(f"t{c}"))))
+    every = end.unionByName(begin)
+    if more is not None:
+        every = every.unionByName(more, allowMissingColumns=True)
+    words = [F.max(c).alias(c) for c in "vw"] if more is not None else []
+    return every.groupBy("k").agg(*(F.coalesce(F.sum(f"{x}{c}"), zero.cast("long") if x == "n" else zero).alias(f"{x}{c}") for x in "nzt" for c in HALVES), *words)
+
+
+def _context(c: str) -> Column:
+    """log of the weight that the n-gram as context gives to the lower order."""
+    return F.when(F.col(f"t{c}") > 0, F.ln(F.col(f"z{c}") / F.col(f"t{c}"))).otherwise(0.0)
+
+
+def _gain(count: Column, d: np.ndarray, z: Column, lower: Column) -> Column:
+    return F.when(count > 0, F.log1p((count - _off(count, d)) / (z * lower))).otherwise(0.0)
+
+
+class WordModel:
+    """values: (key, freq, a, b); floor: log-probability of an unknown word in each half's model."""
+
+    def __init__(self, trusted: DataFrame):
+        """trusted: (text, half) with half 0 or 1."""
+        halves = {r["half"] for r in trusted.select("half").distinct().collect()}
+        self.empty = not halves
+        if self.empty:
+            return
+        tri = materialize(_count(trusted, len(halves) == 1))
+        d3 = _discounts(tri, list(HALVES))
+        bi = materialize(_by(tri, "g2", "gc", d3, _bigram_words(trusted)))
+        d2 = _discounts(bi, ["na", "nb"])
+        pairs = bi.filter("v is not null").select("v", "w", F.col("na").alias("a"), F.col("nb").alias("b"))
+        uni = materialize(_by(pairs, "w", "v", d2))
+        d1 = _discounts(uni, ["na", "nb"])
+        total = uni.agg(F.count_if(F.col("na") + F.col("nb") > 0).alias("kinds"), *(F.sum(f"n{c}").alias(f"n{c}") for c in HALVES), *(F.sum(_off(F.col(f"n{c}"), d)).alias(f"z{c}") for c, d in zip(HALVES, d1, strict=True))).first()
+        kinds = total["kinds"] + 1  # the unknown word is one of them
+        unknown = [total[f"z{c}"] / total[f"n{c}"] / kinds for c in HALVES]
+        self.floor = [float(np.log(p)) for p in unknown]
+        p1 = [(F.col(f"n{c}") - _off(F.col(f"n{c}"), d)) / total[f"n{c}"] + p for c, d, p in zip(HALVES, d1, unknown, strict=True)]
+        uni = uni.select("k", "na", "nb", *(p.alias(f"p{c}") for c, p in zip(HALVES, p1, strict=True)), *(f"z{c}" for c in HALVES), *(_context(c).alias(f"g{c}") for c in HALVES), (F.col("ta") + F.col("tb")).alias("freq"))
+        #: the start mark is never predicted, so it has no part above the floor
+        above = lambda c, low: F.when(F.col(f"n{c}") > 0, F.ln(f"p{c}") - low).otherwise(0.0) + F.col(f"g{c}")
+        one = uni.select(F.col("k").alias("key"), F.greatest("freq", F.col("na") + F.col("nb")).alias("freq"), *(above(c, low).alias(c) for c, low in zip(HALVES, self.floor, strict=True)))
+        before = uni.select(F.col("k").alias("v"), *(F.col(f"z{c}").alias(f"v{c}") for c in HALVES))
+        after = uni.select(F.col("k").alias("w"), *(F.col(f"p{c}").alias(f"w{c}") for c in HALVES))
+        bi = bi.join(after, "w", "left").join(before, "v", "left")
+        gain = [_gain(F.col(f"n{c}"), d, F.col(f"v{c}"), F.col(f"w{c}")) for c, d in zip(HALVES, d2, strict=True)]
+        # in back-off form p(w | v) = exp(gain) * weight(v) * p(w), and the weight is z / t
+        weight = uni.select(F.col("k").alias("v"), *(F.col(f"g{c}").alias(f"h{c}") for c in HALVES))
+        bi = materialize(
+            bi.join(weight, "v", "left").select("k", *(F.exp(g + F.col(f"h{c}") + F.ln(f"w{c}")).alias(f"p{c}") for c, g in zip(HALVES, gain, strict=True)), *(f"z{c}" for c in HALVES), *((g + _context(c)).alias(c) for c, g in zip(HALVES, gain, strict=True)), F.greatest(F.col("ta") + F.col("tb"), F.col("na") + F.col("nb")).alias("freq"))
+        )
+        two = bi.select(F.col("k").alias("key"), "freq", *HALVES)
+        freq = (F.col("a") + F.col("b")).cast("double")
+        full = tri.select(F.col("g3").alias("key"), "gc", "g2", freq.alias("freq"), *HALVES)
+        ends = bi.select(F.col("k").alias("g2"), *(f"p{c}" for c in HALVES))
+        begins = bi.select(F.col("k").alias("gc"), *(f"z{c}" for c in HALVES))
+        self._small, self._full, self._ends, self._begins, self._d3 = one.unionByName(two), full, ends, begins, d3
+        self._seen = tri.select(freq.alias("freq")).unionByName(self._small.select("freq"))
+
+    def values(self, chosen: str) -> DataFrame:
+        """(key, a, b) of all n-grams whose `freq` is as chosen."""
+        joined = self._full.filter(chosen).join(self._ends, "g2").join(self._begins, "gc")
+        three = joined.select("key", *(_gain(F.col(c), d, F.col(f"z{c}"), F.col(f"p{c}")).alias(c) for c, d in zip(HALVES, self._d3, strict=True)))
+        every = self._small.filter(chosen).select("key", *HALVES).unionByName(three)
+        return every.select("key", *(F.col(c).cast("float").alias(c) for c in HALVES))
+
+    def threshold(self) -> int:
+        """The least frequency from which on at most HEAD n-grams are left."""
+        held = self._seen.groupBy(F.least(F.col("freq"), F.lit(100_000.0)).cast("long").alias("f")).count().collect()
+        left = 0
+        for r in sorted(held, key=lambda r: -r["f"]):
+            left += r["count"]
+            if left > HEAD:
+                return r["f"] + 1
+        return 0
+
+
+def _keys_of(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and keys of all n-grams of the texts, each as often as its value counts; and the rows' words."""
+    seq, at = _sequences(*T.flat(column, lo, hi))
+    row, (three, gc, g2, v, w) = _keys(seq, at)
+    first = at[:-1] + 2 - 2 * np.arange(1, len(at))  # of each row among the predicted words
+    rows = np.arange(len(at) - 1)
+    # a bigram or word is a context right after it was predicted, but for the start marks
+    return np.concatenate((row, row, row, rows, rows)), np.concatenate((three, g2, w, gc[first], v[first])), np.diff(at) - 3
+
+
+def score(docs: DataFrame, model: WordModel) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity), one row for each row of docs (doc_id, lang, text, trusted, half); texts without words have no perplexity."""
+    spark = docs.sparkSession
+    if model.empty:
+        return docs.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"))
+    least = model.threshold()
+    head = model.values(f"freq >= {least}").toPandas().sort_values("key")
+    sent = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), head["a"].to_numpy(float), head["b"].to_numpy(float)))
+    low = model.floor
+    source = docs.withColumn("row", F.xxhash64("doc_id", "lang", "text"))
+
+    def near(batches):
+        known, *value = sent.value
+        for batch in batches:
+            column = T.text_column(batch)
+            for lo, hi in T.slices(column):
+                row, key, n = _keys_of(column, lo, hi)
+                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                hit = known[at] == key if len(known) else np.zeros(len(key), bool)
+                sums = [np.bincount(row[hit], v[at[hit]], hi - lo) + (n + 1) * f for v, f in zip(value, low, strict=True)]
+                own = [batch.column(c).slice(lo, hi - lo) for c in range(5)]
+                size = np.diff(T.flat(column, lo, hi)[1])
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in (size, n, *sums))], [*OWN, "n_bytes", "n_words", "a", "b"])
+
+    def far(batches):
+        known = sent.value[0]
+        for batch in batches:
+            column, ids = T.text_column(batch), batch.column(0).to_numpy()
+            for lo, hi in T.slices(column):
+                row, key, _ = _keys_of(column, lo, hi)
+                if len(known):
+                    other = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
+                    row, key = row[other], key[other]
+                with np.errstate(over="ignore"):
+                    _, first, n = np.unique(T.mix(key.view(T.U64) + T.mix(row.astype(T.U64) + T.U64(1))), return_index=True, return_counts=True)
+                order = np.argsort(first)
+                first = first[order]
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(ids[lo:hi][row[first]]), pa.array(n[order].astype(np.int32))], ["key", "row", "n"])
+
+    kept = source.select(*OWN, "text").mapInArrow(near, "row long, doc_id long, lang string, trusted boolean, half int, n_bytes long, n_words long, a double, b double")
+    grams = source.select("row", "text").mapInArrow(far, "key long, row long, n int")
+    tail = grams.join(model.values(f"freq < {least}"), "key").groupBy("row").agg(*(F.sum(F.col("n") * F.col(c).cast("double")).alias(f"s{c}") for c in HALVES))
+    whole = kept.groupBy(*OWN).agg(F.count(F.lit(1)).cast("int").alias("copies"), *(F.first(c).alias(c) for c in ("n_bytes", "n_words", "a", "b")))
+    whole = whole.join(tail, "row", "left")  # copies of a row add to one sum
+    a, b = (F.col(c) + F.coalesce(F.col(f"s{c}"), F.lit(0.0)) / F.col("copies") for c in HALVES)
+    log_p = F.when(~F.col("trusted"), (a + b) / 2).when(F.col("half") == 0, b).otherwise(a)
+    perplexity = F.when(F.col("n_words") > 0, F.exp(-log_p / (F.col("n_words") + 1))).alias("perplexity")
+    return whole.select("doc_id", "lang", "n_bytes", perplexity, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm import bpe, components, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, quality, sharding, surrogates, toxicity
+from recollect.llm import bpe, components, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, quality, sharding, surrogates, toxicity, word_model
 
 DOCS = "doc_id long, text string"
 ODD = [(None, "a lone null id"), (7, None), (8, ""), (9, " \n\t\n "), (10, "twice the same row"), (10, "twice the same row"), (11, "x" * 200_000), (12, "é" * 3), (13, "1234 %%%")]
@@ -97,6 +97,66 @@ def test_quality_limit_is_the_quantile(spark):
     assert {r.limit for r in got} == {max(r.perplexity for r in got if r.doc_id < 30)}
 
 
+def plain_word_model(texts):
+    """log-probability and number of predicted words of a token list, under the model of the texts, by dictionaries."""
+    tri = Counter(g for t in texts for g in zip(["<s>", "<s>", *t], ["<s>", *t], [*t, "</s>"], strict=False))
+    orders = [None, None, None, tri]
+    for k in (2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    d = [quality.discounts([0, *(list(c.values()).count(n) for n in range(1, 5))]) if c else None for c in orders]
+    off = lambda k, n: d[k][min(n, 3)]
+    return orders, off
+
+
+def plain_log_p(model, kinds, text):
+    orders, off = model
+    below = {}
+    for k in (1, 2, 3):
+        for g, n in orders[k].items():
+            z, t = below.get(g[:-1], (0.0, 0))
+            below[g[:-1]] = z + off(k, n), t + n
+
+    def p(g):
+        if not g:
+            return 1 / (kinds + 1)
+        z, t = below.get(g[:-1], (1.0, 1))
+        n = orders[len(g)].get(g, 0)
+        return (n - off(len(g), n)) / t * (n > 0) + z / t * p(g[1:])
+
+    return sum(math.log(p(g)) for g in zip(["<s>", "<s>", *text], ["<s>", *text], [*text, "</s>"], strict=False))
+
+
+@pytest.mark.parametrize("head", [0, 5, 1 << 20])
+def test_word_model_is_kneser_ney(spark, monkeypatch, head):
+    monkeypatch.setattr(word_model, "HEAD", head)
+    texts = [" ".join(random.Random(i).choices("The cat, sat on a mat and saw 12 dogs !!".split(), k=5 + i)) for i in range(24)]
+    rows = [*((i, t) for i, t in enumerate(texts)), (50, "dogs zebra the the ?? cat"), (50, "dogs zebra the the ?? cat"), (51, "é"), (52, " "), (None, "the mat and saw 9 dogs")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "'en' AS lang", "text", "coalesce(doc_id < 24, false) AS trusted", "cast(coalesce(doc_id, 0) % 2 AS int) AS half")
+    got = word_model.score(docs, word_model.WordModel(docs.filter("trusted").select("text", "half"))).collect()
+    tokens = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^\s0-9a-z\x80-\U0010ffff]+", re.sub(r"\d", "0", t.lower()))
+    halves = [plain_word_model([tokens(t) for t in texts[h::2]]) for h in (0, 1)]
+    kinds = len({w for t in texts for w in tokens(t)} | {"</s>"})
+    want = []
+    for i, t in rows:
+        used = [halves[1 - i % 2]] if i is not None and i < 24 else halves
+        log_p = sum(plain_log_p(m, kinds, tokens(t)) for m in used) / len(used)
+        want.append((str(i), len(t.encode()), round(math.exp(-log_p / (len(tokens(t)) + 1)), 3) if tokens(t) else None))
+    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.n_bytes, r.perplexity and round(r.perplexity, 3))) for r in got)
+
+
+def test_quality_sees_the_order_of_words(spark):
+    def sentences(seed):
+        r = random.Random(seed)
+        return [w for _ in range(12) for w in ("the", r.choice(["cat", "dog", "bird"]), "sat", "on", "a", r.choice(["mat", "roof", "tree"]), "and", "saw", "my", "old", "house")]
+
+    mixed, turned = [sentences(i) for i in range(70, 80)], [sentences(i) for i in range(80, 90)]
+    for i, t in enumerate(mixed):
+        random.Random(i).shuffle(t)
+    rows = [(i, " ".join(sentences(i))) for i in range(70)] + [(100 + i, " ".join(t)) for i, t in enumerate(mixed)] + [(200 + i, " ".join([t[i]] * 90)) for i, t in enumerate(turned)]
+    got = quality.classify(frame(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).collect()
+    assert not any(r.keep for r in got if r.doc_id >= 100) and sum(r.keep for r in got if 60 <= r.doc_id < 70) >= 8
+
+
 # --- 2 surrogates ----------------------------------------------------------------------
 
 
