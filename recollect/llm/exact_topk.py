@@ -11,9 +11,9 @@ scores are computed for the survivors only.
 Queries and candidates are packed into blocks of at most `block` rows and every pair
 of blocks is one small task, so no task or driver holds a whole side.  Each task
 returns its k best per query; the k best of those are the answer.  Ties go to the
-smaller id.  Rows that are null, of the wrong length, or hold null or non-finite
-components take no part (the length is that of the smallest usable id).  Rows
-repeated under one id are candidates one by one.  An empty table gives an empty
+smaller id.  Rows that are null, empty, or hold null or non-finite components take no
+part.  Only vectors of one length have a product, so each length is searched by itself.
+Rows repeated under one id are candidates one by one.  An empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -90,20 +90,18 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFr
 
 
 def _pack(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """One row per block with the ids and vectors of its rows."""
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "v")).alias(name))
+    """One row per length and block with the ids and vectors of its rows."""
+    return rows.groupBy(F.size("v").alias("length"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "v")).alias(name))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score); `is_query` is a condition on the id column `id`."""
     rows = materialize(_usable(vectors, id_col, vec_col, scale))
-    first = rows.agg(F.min_by(F.size("v"), "id"), F.count(F.lit(1))).first()
-    rows = rows.filter(F.size("v") == F.lit(first[0] or 0))
     queries = rows.filter(is_query)
-    n_queries = queries.count()
-    q_blocks, c_blocks = max(1, -(-n_queries // block)), max(1, -(-first[1] // block))
+    n_queries, n_rows = queries.count(), rows.count()
+    q_blocks, c_blocks = max(1, -(-n_queries // block)), max(1, -(-n_rows // block))
     sides = _pack(queries, q_blocks, "q").join(
-        _pack(rows, c_blocks, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("q_block", F.col("q_block").cast("long")), "q_block"
+        _pack(rows, c_blocks, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("q_block", F.col("q_block").cast("long")), ["length", "q_block"]
     )
 
     def search(frames):
@@ -115,6 +113,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
                 yield pd.DataFrame({"query_id": q_ids[i], "vec_id": c_ids[j], "score": score})
 
     pairs = q_blocks * c_blocks
-    found = sides.repartition(pairs, "q_block", "c_block").mapInPandas(search, "query_id long, vec_id long, score long")
+    found = sides.repartition(pairs, "length", "q_block", "c_block").mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -412,6 +412,19 @@ def test_exact_topk(spark):
     assert exact_topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_exact_topk_searches_each_length(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(1 if i == 0 else 5 if i % 3 else 8).astype(np.float32).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(df, F.col("id") % 20 == 0, k=4, block=16).collect()}
+    good = {i: np.floor(64 * np.array(v, np.float32).astype(float)) for i, v in rows}
+    want = set()
+    for i in range(0, 90, 20):
+        ranked = sorted((-int(good[i] @ v), j) for j, v in good.items() if j != i and len(v) == len(good[i]))[:4]
+        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(ranked)}
+    assert got == want and len(want) == 16
+
+
 # --- 10 decontamination ----------------------------------------------------------------
 
 
