@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local one only where that is unset."""
+    """The folder named by `spark.checkpoint.dir`; a local one of our own only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), f"recollect-{os.getpid()}")
     if not os.path.isdir(own):
         os.makedirs(own)
@@ -28,7 +32,30 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written = path
+    return read
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what `materialize` wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+TEXTS_PER_BATCH = 1000
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` over texts: batches of fewer rows than Spark's 10,000, as a row may be a whole book."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= TEXTS_PER_BATCH:
+        df.sparkSession.conf.set(name, str(TEXTS_PER_BATCH))
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

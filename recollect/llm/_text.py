@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+HASHED_BYTES = 1 << 17
 CHUNK_BYTES = 1 << 20  # working-set bound: rows are handled in slices of about this size
 
 _seed = np.random.default_rng(20240607)
@@ -92,13 +93,21 @@ def words(raw: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word's bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    before = np.zeros(len(lengths), np.int64)
-    np.cumsum(lengths[:-1], out=before[1:])
-    total = int(before[-1] + lengths[-1])
-    inner = np.arange(total, dtype=np.int64)
+    """A 64-bit hash of every word's bytes; words are taken some at a time, which bounds the working set."""
+    out = np.empty(len(starts), U64)
+    upto = np.cumsum(lengths)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(upto, upto[lo] - lengths[lo] + HASHED_BYTES, side="right"))
+        hi = max(hi, lo + 1)
+        out[lo:hi] = _hashes(raw, starts[lo:hi], lengths[lo:hi])
+        lo = hi
+    return out
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    before = np.cumsum(lengths) - lengths
+    inner = np.arange(int(before[-1] + lengths[-1]), dtype=np.int64)
     at = inner + np.repeat(starts - before, lengths)
     inner -= np.repeat(before, lengths)
     with np.errstate(over="ignore"):

@@ -9,7 +9,8 @@ update walks one path to the root.  Short pieces are merged many at a time: the
 same trees side by side as the rows of one array.
 
 Nulls encode as empty texts, empty texts give no ids, pieces may be of any length,
-ranks are never copied: the path is a parameter and is read where it is used.
+ranks are never copied: the path is a parameter and is read where it is used.  A worker
+keeps at most `CACHE` learned pieces and forgets them when its task ends.
 Repeated rows and extra columns don't matter; an empty table gives an empty result.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -26,10 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import _text as T
+from ._spark import map_texts
 
 NONE = np.iinfo(np.int32).max
 BATCHED = 64  # longer pieces are merged one by one
-CACHE = 400_000
+CACHE = 60_000  # pieces kept by a worker; a slice of text with more distinct pieces holds only its own
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +62,9 @@ class BytePairCodec:
         self.pair = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.rank = np.append(np.array(merged, np.int64)[order], NONE)
         self.lookup = dict(zip(keys, merged, strict=True))
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.number = list(range(len(self.token)))  # shared integers and their texts
+        self.name = [str(r) for r in self.number]
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -159,69 +165,86 @@ class BytePairCodec:
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't known yet."""
+        shared = self.number.__getitem__
         by_width: dict[int, list[str]] = {}
         for p in pieces:
             data = p.encode()
             if (r := self.ranks.get(data)) is not None:
-                self.cache[p] = ((r,), str(r))
+                self.cache[p] = (r,)
             elif len(data) > BATCHED:
-                ids = tuple(self._encode_long(data))
-                self.cache[p] = (ids, ",".join(map(str, ids)))
+                self.cache[p] = tuple(map(shared, self._encode_long(data)))
             else:
                 by_width.setdefault(1 << (len(data) - 1).bit_length(), []).append(p)
         for width, own in by_width.items():
             for at in range(0, len(own), 4096):
                 part = own[at : at + 4096]
                 for p, ids in zip(part, self._encode_batch([p.encode() for p in part], width), strict=True):
-                    self.cache[p] = (ids, ",".join(map(str, ids)))
+                    self.cache[p] = tuple(map(shared, ids))
 
-    def pieces_of(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """(ids, ids as text) of every piece of each text; new pieces of all texts are encoded side by side."""
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; new pieces of all texts are encoded side by side."""
         found = [self.split(t) for t in texts]
         distinct = set().union(*found)
+        new = distinct.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = distinct
+        self._learn(new)
+        for own in found:
+            yield list(chain.from_iterable(map(self.cache.__getitem__, own)))
         if len(self.cache) > CACHE:
             self.cache.clear()
-        self._learn(distinct.difference(self.cache))
-        cache = self.cache
-        return [[cache[p] for p in own] for own in found]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces_of([text])[0]))
+        return next(self.encode_all([text]))
+
+    def written(self, ids: list[int]) -> str:
+        """The ids as decimal numbers with commas."""
+        return ",".join(map(self.name.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> BytePairCodec:
-    """One codec per worker process."""
+@lru_cache(maxsize=1)
+def _codec(path: str, pattern: str) -> BytePairCodec:
     return BytePairCodec(load_ranks(path), pattern)
 
 
+@contextmanager
+def codec(path: str, pattern: str) -> Iterator[BytePairCodec]:
+    """A worker process's codec, without the pieces it learned when the task ends."""
+    own = _codec(path, pattern)
+    try:
+        yield own
+    finally:
+        own.cache = {}
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids), one row for each input row."""
 
     def encode(batches):
-        own = codec(path, pattern)
-        for batch in batches:
-            column = T.text_column(batch, text_col)
-            for lo, hi in T.slices(column):
-                ids = [list(chain.from_iterable(p[0] for p in pieces)) for pieces in own.pieces_of(column.slice(lo, hi - lo).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with codec(path, pattern) as own:
+            for batch in batches:
+                column = T.text_column(batch, text_col)
+                for lo, hi in T.slices(column):
+                    ids = [np.array(x, np.int32) for x in own.encode_all(column.slice(lo, hi - lo).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(encode, "doc_id long, ids array<int>")
+    return map_texts(docs.select(id_col, text_col), encode, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text bytes) of (doc_id, ids)."""
 
     def decode(batches):
-        own = codec(path, pattern)
-        for batch in batches:
-            texts = [own.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
+        with codec(path, pattern) as own:
+            for batch in batches:
+                texts = [own.decode(ids or []) for ids in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, bytes binary")
+    return map_texts(encoded.select("doc_id", "ids"), decode, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -229,22 +252,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def both(batches):
-        own = codec(path, pattern)
-        for batch in batches:
-            column = T.text_column(batch, text_col)
-            for lo, hi in T.slices(column):
-                n, coded, decoded, every = [], [], [], []
-                for pieces in own.pieces_of(column.slice(lo, hi - lo).to_pylist()):
-                    ids = list(chain.from_iterable([p[0] for p in pieces]))
-                    n.append(len(ids))
-                    coded.append(hashlib.sha256(",".join([p[1] for p in pieces]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                    if with_ids:
-                        every.append(np.array(ids, np.int32))
-                more = [pa.array(every, pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string()), *more], names
-                )
+        with codec(path, pattern) as own:
+            for batch in batches:
+                column = T.text_column(batch, text_col)
+                for lo, hi in T.slices(column):
+                    n, coded, decoded, every = [], [], [], []
+                    for ids in own.encode_all(column.slice(lo, hi - lo).to_pylist()):
+                        n.append(len(ids))
+                        coded.append(hashlib.sha256(own.written(ids).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                        if with_ids:
+                            every.append(np.array(ids, np.int32))
+                    more = [pa.array(every, pa.list_(pa.int32()))] * with_ids
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string()), *more], names
+                    )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(both, schema)
+    return map_texts(docs.select(id_col, text_col), both, schema)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import map_texts
 
 BLOCK_WORDS = 2_000_000
 FILTER_BITS = 20
@@ -166,7 +167,7 @@ def _count_shingles(docs: DataFrame, tokens: dict[int, np.ndarray], text_col: st
             yield pa.RecordBatch.from_pydict({"w": pa.array(np.full(len(k), w, np.int32)), "k": pa.array(k), "n": pa.array(s[k])})
 
     out = {w: (t.tokens, np.zeros(len(t.tokens), np.int64)) for w, t in sent.value.items()}
-    summed = docs.select(text_col).mapInArrow(count, "w int, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
+    summed = map_texts(docs.select(text_col), count, "w int, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
     for r in summed.collect():  # as many rows as the block has shingles, at most
         out[r["w"]][1][r["k"]] = r["n"]
     return out
@@ -207,7 +208,7 @@ def _mark(docs: DataFrame, index: _Index, ids: list[str], id_col: str, text_col:
             )
 
     schema = "doc_id long, text_key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(mark, schema)
+    return map_texts(docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")), mark, schema)
 
 
 def find_contamination(

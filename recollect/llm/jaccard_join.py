@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import materialize
+from ._spark import map_texts, materialize, release
 from .components import components
 
 BINS = 16
@@ -194,7 +194,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), zero, zero, pa.array(keys, pa.int64()), zero, *[zero] * BINS, pa.array(values, pa.binary())], names)
 
     schema = "kind int, doc_id long, text_key long, node long, n long, " + "".join(f"m{j} long, " for j in range(BINS)) + "packed binary"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, schema)
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, schema)
 
 
 def _pack(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -215,7 +215,7 @@ def _add_counters(parts: DataFrame) -> DataFrame:
         keys, values = _pack(counts)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["node", "packed"])
 
-    return parts.select("node", "packed").mapInArrow(run, "node long, packed binary")
+    return map_texts(parts.select("node", "packed"), run, "node long, packed binary")
 
 
 def _rarity(scanned: DataFrame) -> np.ndarray:
@@ -258,7 +258,7 @@ def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int, boun
                     ["doc_id", "node", "n", "tokens", "keys", "kinds", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, tokens array<long>, keys array<long>, kinds array<int>, sketch array<long>")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, node long, n long, tokens array<long>, keys array<long>, kinds array<int>, sketch array<long>")
 
 
 def _plausible(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _plausible(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             good = [outline_distance(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) <= i + j - 2 * overlap(i, j, percent) for i, j, p, q in zip(n, m, x, y, strict=True)]
             yield batch.select(list(range(len(kinds)))).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(test, ", ".join(f"{c} {t}" for c, t in kinds.items())))
+    return materialize(map_texts(both, test, ", ".join(f"{c} {t}" for c, t in kinds.items())))
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
             mask = (packed[slots >> 3] >> (7 - (slots & 7))) & 1
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask.astype(bool))) for c in batch.columns[:2]], ["doc_id", "text"])
 
-    texts = docs.select("doc_id", "text", slot.alias("slot")).filter("doc_id is not null").mapInArrow(select, "doc_id long, text string").join(wanted, "doc_id")
+    texts = map_texts(docs.select("doc_id", "text", slot.alias("slot")).filter("doc_id is not null"), select, "doc_id long, text string").join(wanted, "doc_id")
     texts = materialize(texts.select("node", "text"))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
@@ -313,7 +313,9 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
                     good[k] = links(s, t, percent) and set_name(s) == a[k] and set_name(t) == b[k]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
+    found = materialize(map_texts(both.select("a", "b", "x", "y"), test, "a long, b long"))
+    release(pairs, wanted, texts)
+    return found
 
 
 def _head_pairs(banded: DataFrame, classed: DataFrame, turn: int) -> DataFrame:

@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import map_texts
 
 DIM = 4096
+DENSE = 128  # rows whose counts are held dense at once
 PER_LANGUAGE = 1000
 CLUSTERS = 3
 SLACK = 0.1
@@ -76,8 +78,8 @@ def has_letter(column: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def _slices(column: pa.Array):
     for lo, hi in T.slices(column):
-        for at in range(lo, hi, 512):  # bounds the dense counts
-            yield at, min(at + 512, hi)
+        for at in range(lo, hi, DENSE):
+            yield at, min(at + DENSE, hi)
 
 
 class Centroids:
@@ -106,12 +108,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(counts: np.ndarray, langs: np.ndarray, clusters: int = CLUSTERS, slack: float = SLACK, rounds: int = 12) -> Centroids | None:
     """Centroids from counted training texts and their languages."""
     some = counts.sum(1) > 0
-    counts, langs = counts[some], langs[some]
+    if not some.all():
+        counts, langs = counts[some], langs[some]
     if not len(counts):
         return None
-    idf = (np.log((len(counts) + 1) / ((counts > 0).sum(0) + 1)) + 1).astype(np.float32)
+    idf = (np.log((len(counts) + 1) / (np.count_nonzero(counts, axis=0) + 1)) + 1).astype(np.float32)
     model = Centroids(sorted(set(langs.tolist())), idf, *[np.zeros(0)] * 4)
-    x, grams = model.vectors(counts), counts.sum(1)
+    x, grams = np.empty_like(counts), counts.sum(1)
+    for lo in range(0, len(x), DENSE):
+        x[lo : lo + DENSE] = model.vectors(counts[lo : lo + DENSE])
+    del counts
     centers, owner, radius, spread = [], [], [], []
     for k, lang in enumerate(model.langs):
         own = np.flatnonzero(langs == lang)
@@ -161,7 +167,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, clusters: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["id", "lang", "grams"])
 
     sample = rows.filter(unit < share).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), text_col)
-    got = sorted(sample.mapInArrow(count, "id string, lang string, grams binary").collect(), key=lambda r: (r["id"] or "", r["lang"], bytes(r["grams"])))
+    got = sorted(map_texts(sample, count, "id string, lang string, grams binary").collect(), key=lambda r: (r["id"] or "", r["lang"], bytes(r["grams"])))
     counts = np.zeros((len(got), DIM), np.float32)
     for k, r in enumerate(got):
         both = np.frombuffer(r["grams"], np.int32)
@@ -190,7 +196,7 @@ def predict(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", te
                 part = [batch.column(k).slice(lo, hi - lo) for k in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score), pa.array(far), *part], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_texts(source, run, schema)
 
 
 def fold(id_col: str, folds: int) -> Column:

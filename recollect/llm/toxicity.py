@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import map_texts
 
 WINDOW, STRIDE = 16, 12
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 4, 4, 8
@@ -269,4 +270,4 @@ def score(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col
                 value = np.zeros(hi - lo) if net is None else net.document_scores(*T.flat(column, lo, hi)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(value)], ["doc_id", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(id_col, text_col), run, "doc_id long, score double")

@@ -247,7 +247,7 @@ def test_line_dedup_counts_documents_not_rows(spark):
 
 def test_bpe_is_the_library(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    own = bpe.codec(path, public_tokenizers.PATTERN)
+    own = bpe.BytePairCodec(bpe.load_ranks(path), public_tokenizers.PATTERN)
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     rng = random.Random(2)
     texts = ["", "a", "aaaa" * 500, "<|endoftext|> 'Tis 　 x", "ÄÖ ß — 日本語のテキスト 🙂🙂", "".join(map(chr, range(1, 2000)))]
