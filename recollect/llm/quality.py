@@ -1,243 +1,47 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-`classify` scores by the word model of `word_model.py`.  `train` and `perplexities` are a
-model of order 4 over UTF-8 bytes, which `classify` does not use:
-
-Each text is preceded by three line ends; the digits are one symbol.  It is trained on all trusted documents (labels.quality = 1),
-never on a part of them: scan tasks count the n-grams of what they read, and the counts
-are summed per n-gram on the cluster.  Orders below the highest use continuation counts,
-and every order has its own three discounts from its counts of counts.
-
-Scoring joins counts with texts by shards.  A shard holds the log-probabilities of all
-4-grams whose first byte pair is among its pairs, for every known second pair, so what
-is sent has a fixed largest size (`SHARD_CELLS`); with more pairs there are more shards,
-and the shards' sums are added per document.  Positions with an unknown pair are scored
-by the interpolated lower orders.  A document's perplexity is exp(-mean log p per byte).
-
-A document is kept if its perplexity is at most its language's limit, the
-`quantile` of the perplexities of trusted documents of that language times `margin`;
-languages without trusted documents, and rows without language, take the limit of all
-trusted documents.  Texts that are null or hold no word have no perplexity and aren't kept.
-Without any trusted document nothing has a perplexity and nothing is kept.  Repeated
-rows are answered alike; extra columns are ignored; an empty table gives an empty result.
+`classify` trains the model of `ngram_model.py` on all trusted documents (never on a part
+of them) and scores every document by it.  A document is kept if its perplexity is at most
+its language's limit: the `quantile` of the perplexities of trusted documents of that
+language, each under the half of the model that has not seen it.  Languages without
+trusted documents, and rows without language, take the limit of all trusted documents.
+
+Texts that are null or empty have no perplexity and aren't kept.  Without any trusted
+document nothing has a perplexity and nothing is kept.  Repeated rows are answered alike;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text as T
 from ._spark import materialize
-from .word_model import WordModel, score
+from .ngram_model import HEAD, ByteModel, score
 
-ORDER = 4
-SHARD_CELLS = 1 << 24
 TRUSTED_SENT = 2_000_000
-QUANTILE, MARGIN = 0.99, 1.0
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x30:0x3A] = 0x30
-
-
-def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 4-grams that end at each byte, texts being preceded by line ends."""
-    b = _FOLD[raw].astype(np.uint32)
-    code = b.copy()
-    for back in (1, 2, 3):
-        before = np.full(len(b), 0x0A, np.uint32)
-        before[back:] = b[:-back] if len(b) > back else before[back:]
-        for k in range(back):  # the first bytes of each text look back at line ends
-            at = offsets[:-1] + k
-            before[at[at < offsets[1:]]] = 0x0A
-        code |= before << np.uint32(8 * back)
-    return code, offsets
-
-
-def count_grams(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(g, c) of all 4-grams of the texts."""
-
-    def run(batches):
-        for batch in batches:
-            column = T.text_column(batch, text_col)
-            held, n = [], 0
-            for lo, hi in T.slices(column):
-                code, _ = _grams(*T.flat(column, lo, hi))
-                held.append(np.unique(code, return_counts=True))
-                n += len(held[-1][0])
-                if n > 2_000_000 or hi == len(column):
-                    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                    sums = np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], ["g", "c"])
-                    held, n = [], 0
-
-    return texts.select(text_col).mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def discounts(n: list[float]) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, at index 1 to 3; n[k]: how many n-grams have count k."""
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] > 0 else 0.5
-    d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] > 0 else y for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(v, 0.1), k - 0.1) for k, v in enumerate(d, 1))])  # some mass always goes to unseen n-grams
-
-
-def _tally(counts: np.ndarray) -> list[float]:
-    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).tolist()
-
-
-def _order(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of the n-grams, and each known context with its back-off weight.  lower: of the n-grams' suffixes."""
-    d = discounts(_tally(counts))[np.minimum(counts, 3).astype(np.int64)]
-    context, at = np.unique(keys >> 8, return_inverse=True)
-    total = np.bincount(at, counts, len(context))
-    weight = np.bincount(at, d, len(context)) / total
-    return (counts - d) / total[at] + weight[at] * lower, context, weight
-
-
-class KneserNey:
-    """Tables of one model: the full lower orders, and shards of the highest."""
-
-    def __init__(self, g2: np.ndarray, c2: np.ndarray, g3: np.ndarray, c3: np.ndarray, first: np.ndarray):
-        """Continuation counts of the byte pairs and triples; first: the pairs that begin 4-grams."""
-        c1 = np.bincount(g2 & 255, minlength=256).astype(float)  # kinds of bytes before each byte
-        d = discounts(_tally(c1[c1 > 0]))[np.minimum(c1, 3).astype(np.int64)]
-        p1 = (c1 - d) / c1.sum() + d.sum() / c1.sum() / 256
-        seen2, ctx, weight = _order(g2, c2, p1[g2 & 255])
-        back = np.ones(256)
-        back[ctx] = weight
-        self.p2 = (back[:, None] * p1[None, :]).ravel()
-        self.p2[g2] = seen2
-        seen3, ctx, weight = _order(g3, c3, self.p2[g3 & 0xFFFF])
-        self.pairs = np.unique(np.concatenate((g3 >> 8, g3 & 0xFFFF, first)))
-        self.number = np.zeros(1 << 16, np.int32)  # 0: unknown
-        self.number[self.pairs] = np.arange(1, len(self.pairs) + 1)
-        back = np.ones(len(self.pairs) + 1)
-        back[self.number[ctx]] = weight
-        pair = np.concatenate(([0], self.pairs))
-        self.p3 = back[:, None] * self.p2.reshape(256, 256)[pair & 255]
-        self.p3[self.number[g3 >> 8], g3 & 255] = seen3
-        self.back4 = np.ones((len(self.pairs) + 1, 256), np.float32)
-        self.rows = max(1, SHARD_CELLS // max(1, len(self.pairs)))
-        self.shards = max(1, -(-len(self.pairs) // self.rows))
-
-    def third(self, code: np.ndarray) -> np.ndarray:
-        """Probability of the last byte after the two before it."""
-        pair = self.number[code >> 8 & 0xFFFF]
-        return np.where(pair > 0, self.p3[pair, code & 255], self.p2[code & 0xFFFF])
-
-    def shard(self, k: int, g: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Log-probabilities (pair of the shard, known pair); g, c: its 4-grams and counts; d: the order's discounts."""
-        first, last = k * self.rows, min((k + 1) * self.rows, len(self.pairs))
-        off = d[np.minimum(c, 3).astype(np.int64)]
-        context, at = np.unique(g >> 8, return_inverse=True)
-        total = np.bincount(at, c, len(context))
-        weight = np.bincount(at, off, len(context)) / total
-        row = self.number[context >> 8]
-        self.back4[row, context & 255] = weight
-        out = np.empty((last - first, len(self.pairs)), np.float32)
-        for r in range(first, last):
-            middle = self.number[(self.pairs[r] & 255) << 8 | self.pairs >> 8]
-            lower = np.where(middle > 0, self.p3[middle, self.pairs & 255], self.p2[self.pairs])
-            out[r - first] = np.log(self.back4[r + 1, self.pairs >> 8] * lower)
-        p4 = (c - off) / total[at] + weight[at] * self.third(g)
-        out[self.number[g >> 16] - 1 - first, self.number[g & 0xFFFF] - 1] = np.log(p4)
-        return out
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> tuple[KneserNey, DataFrame, np.ndarray] | None:
-    """The lower orders, the summed 4-gram counts and the highest order's discounts.
-
-    What comes to the driver is bounded by the alphabet: at most 2^16 pairs, 2^24 triples.
-    """
-    grams = materialize(count_grams(trusted, text_col))
-    triples = grams.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.count(F.lit(1)).alias("c")).toPandas()
-    if not len(triples):
-        return None
-    g3, c3 = triples["g"].to_numpy(np.int64), triples["c"].to_numpy(float)
-    g2, c2 = np.unique(g3 & 0xFFFF, return_counts=True)
-    counted = {r["k"]: r["n"] for r in grams.groupBy(F.least("c", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    d = discounts([0, *(counted.get(k, 0) for k in range(1, 5))])
-    first = np.array([r["p"] for r in grams.select(F.shiftright("g", 16).alias("p")).distinct().collect()], np.int64)
-    return KneserNey(g2, c2.astype(float), g3, c3, first), grams, d
-
-
-def perplexities(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity), one row for each input row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    if model is None:
-        return source.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"))
-    low, grams, d = model
-    pair = F.shiftright("g", 16)
-    parts = []
-    for k in range(low.shards):
-        first, last = low.pairs[k * low.rows], low.pairs[min((k + 1) * low.rows, len(low.pairs)) - 1]
-        own = grams.filter(pair.between(int(first), int(last))).toPandas()  # fits the shard's cells
-        parts.append(_score_shard(source, low, k, low.shard(k, own["g"].to_numpy(np.int64), own["c"].to_numpy(float), d)))
-    if len(parts) == 1:
-        scored = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-        scored = every.groupBy("doc_id", "lang", "text_key", "n_bytes").agg(F.sum("log_p").alias("log_p"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"))
-        scored = scored.select("doc_id", "lang", "n_bytes", (F.col("log_p") / F.col("copies")).alias("log_p"), F.explode(F.sequence(F.lit(1), "copies")))
-    return scored.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
-
-
-def _score_shard(source: DataFrame, low: KneserNey, shard: int, table: np.ndarray) -> DataFrame:
-    sent = source.sparkSession.sparkContext.broadcast((low.number, low.p2, low.p3.astype(np.float32), low.back4 if shard == low.shards - 1 else None, table, shard * low.rows))
-
-    def run(batches):
-        number, p2, p3, back4, table, first = sent.value
-        for batch in batches:
-            column = T.text_column(batch, "text")
-            for lo, hi in T.slices(column):
-                code, offsets = _grams(*T.flat(column, lo, hi))
-                row, col = number[code >> np.uint32(16)] - 1, number[code & np.uint32(0xFFFF)] - 1
-                value = np.zeros(len(code), np.float32)
-                inside = (row >= first) & (row < first + len(table)) & (col >= 0)
-                value[inside] = table[row[inside] - first, col[inside]]
-                if back4 is not None:  # the last shard's turn also scores what no shard holds
-                    other = np.flatnonzero((row < 0) | (col < 0))
-                    rest = code[other]
-                    middle = number[rest >> np.uint32(8) & np.uint32(0xFFFF)]
-                    lower = np.where(middle > 0, p3[middle, rest & np.uint32(255)], p2[rest & np.uint32(0xFFFF)])
-                    value[other] = np.log(back4[row[other] + 1, rest >> np.uint32(8) & np.uint32(255)] * lower)
-                sums = np.concatenate(([0.0], np.cumsum(value, dtype=np.float64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(lo, hi - lo) for c in (0, 1, 3)], pa.array(np.diff(offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])],
-                    ["doc_id", "lang", "text_key", "n_bytes", "log_p"],
-                )
-
-    return source.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, lang string, text_key long, n_bytes long, log_p double")
-
-
-def trusted_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is trusted.  The ids are broadcast up to TRUSTED_SENT of them, else joined by a shuffle."""
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).filter("_id is not null").distinct()
-    few = ids.limit(TRUSTED_SENT + 1).count() <= TRUSTED_SENT
-    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("_id"), "left_semi")
+LIMITS_SENT = 100_000
+QUANTILE = 0.99
 
 
 def marked(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
-    """docs with `trusted`: whether the doc_id is trusted."""
+    """docs with `trusted`: whether the doc_id is trusted.  The ids are broadcast up to TRUSTED_SENT of them, else joined by a shuffle."""
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_id")).filter("_id is not null").distinct()
     few = ids.limit(TRUSTED_SENT + 1).count() <= TRUSTED_SENT
     joined = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left")
     return joined.withColumn("trusted", F.col("_id").isNotNull()).drop("_id")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, limit, keep), one row for each input row."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    source = source.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    model = WordModel(trusted_documents(source, trusted_ids, "doc_id").select("text", "half"))
-    scored = materialize(score(marked(source, trusted_ids), model))
-    known = trusted_documents(scored, trusted_ids, "doc_id").filter("perplexity is not null")
-    limit = (F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin).alias("limit")
-    by_lang = known.filter("lang is not null").groupBy("lang").agg(limit)
-    overall = known.agg(limit.alias("overall"))
-    joined = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))  # one row
-    limit = F.coalesce("limit", "overall")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+    source = marked(source.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), trusted_ids)
+    scored = materialize(score(source, ByteModel(source.filter("trusted").select("text", "half")), head))
+    known = scored.filter("trusted and perplexity is not null")
+    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("limit")
+    by_lang = materialize(known.filter("lang is not null").groupBy("lang").agg(limit))
+    overall = known.agg(limit).first()["limit"]
+    few = by_lang.limit(LIMITS_SENT + 1).count() <= LIMITS_SENT
+    joined = scored.join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
+    limit = F.coalesce("limit", F.lit(overall).cast("double"))
     return joined.select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("limit"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))

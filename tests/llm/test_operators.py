@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from recollect.llm import _text as T
-from recollect.llm import bpe, components, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, quality, sharding, surrogates, toxicity, word_model
+from recollect.llm import bpe, components, decontaminate, exact_topk, jaccard_join, language_id, line_dedup, ngram_model, quality, sharding, surrogates, toxicity
 
 DOCS = "doc_id long, text string"
 ODD = [(None, "a lone null id"), (7, None), (8, ""), (9, " \n\t\n "), (10, "twice the same row"), (10, "twice the same row"), (11, "x" * 200_000), (12, "é" * 3), (13, "1234 %%%")]
@@ -49,39 +49,55 @@ def test_word_hashes_follow_words():
 # --- 1 quality -------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one_and_ranks(spark):
-    good = [(100 + i, " ".join(random.Random(i).choices("the cat sat on a mat and saw the dog run".split(), k=40))) for i in range(60)]
-    docs = frame(spark, [*good, (900, "zq## !!xk@@ " * 20), *ODD])
-    model = quality.train(docs.filter("doc_id < 160 and doc_id >= 120"))
-    low, grams, d = model
-    own = grams.toPandas()
-    table = low.shard(0, own["g"].to_numpy(np.int64), own["c"].to_numpy(float), d)
-    assert low.shards == 1 and np.allclose(low.p2.reshape(256, 256).sum(1), 1) and np.allclose(low.p3[1:].sum(1), 1)
-    # the highest order too: any context, all 256 continuations
-    for context in own["g"].iloc[:5]:
-        a, b = int(context) >> 16, int(context) >> 8 & 255
-        total = 0.0
-        for c in range(256):
-            pair = low.number[b << 8 | c]
-            code = np.array([int(context) >> 8 << 8 | c])
-            total += math.exp(table[low.number[a] - 1, pair - 1]) if pair else low.back4[low.number[a], b] * float(low.third(code)[0])
-        assert total == pytest.approx(1, abs=1e-4)
-    trusted = spark.createDataFrame([(i,) for i in range(120, 160)], "doc_id long")
-    got = {r.doc_id: r for r in quality.classify(docs, trusted).collect()}
-    assert not got[900].keep and got[900].perplexity > got[103].perplexity and got[103].keep
-    assert got[8].perplexity is None and not got[8].keep
-    assert quality.classify(docs, trusted).count() == 60 + 1 + len(ODD)
-
-
-def test_quality_shards_agree(spark, monkeypatch):
-    docs = frame(spark, [(i, " ".join(random.Random(i).choices("alpha beta gamma delta".split(), k=30))) for i in range(30)] + [(99, "zz beta"), (99, "zz beta")])
-    one = quality.perplexities(docs, quality.train(docs.filter("doc_id < 20"))).collect()
-    monkeypatch.setattr(quality, "SHARD_CELLS", 200)
-    model = quality.train(docs.filter("doc_id < 20"))
-    assert model[0].shards > 1
-    many = quality.perplexities(docs, model).collect()
-    key = lambda rows: sorted((r.doc_id, round(r.perplexity, 4)) for r in rows)
-    assert key(one) == key(many)
+def plain_byte_model(texts, order):
+    """log-probability of a byte string's last byte after the others, straight from the definition."""
+    counts = {order: Counter()}
+    for t in texts:
+        b = re.sub(rb"[0-9]", b"0", b"\n" * (order - 1) + t.encode())
+        counts[order].update(b[k : k + order] for k in range(len(b) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    d = {n: ngram_model.discounts([0, *(list(c.values()).count(k) for k in range(1, 5))]) for n, c in counts.items()}
+    by_context = {n: defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for g, x in c.items():
+            by_context[n][g[:-1]].append(x)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        n = len(g)
+        same = by_context[n][g[:-1]]
+        if not same:
+            return p(g[1:])
+        x, total = counts[n][g], sum(same)
+        return (x - d[n][min(x, 3)]) / total + sum(d[n][min(y, 3)] for y in same) / total * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("head", [ngram_model.HEAD, 150, 0])
+def test_byte_model_is_kneser_ney(spark, head):
+    order, rng = ngram_model.ORDER, random.Random(4)
+    texts = [" ".join(rng.choices("the cat sat on a mat; 12 und über die Katze".split(), k=rng.randrange(1, 25))) for _ in range(24)]
+    texts += ["", texts[0], texts[0], "zz ## 99"]
+    trusted = [i < 16 for i in range(len(texts))]
+    rows = [(i, "en", t, ok, i % 2) for i, (t, ok) in enumerate(zip(texts, trusted, strict=True))] + [(3, "en", texts[3], True, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, trusted boolean, half int")
+    model = ngram_model.ByteModel(docs.filter("trusted").select("text", "half"))
+    got = ngram_model.score(docs, model, head).collect()
+    assert len(got) == len(rows)
+    own = [[t for _, _, t, ok, h in rows if ok and h == half] for half in (0, 1)]
+    halves = [plain_byte_model(t, order) for t in own]
+    for r in got:
+        t = texts[r.doc_id].encode()
+        if not t:
+            assert r.perplexity is None
+            continue
+        b = b"\n" * (order - 1) + re.sub(rb"[0-9]", b"0", t)
+        logs = [sum(math.log(p(b[k : k + order])) for k in range(len(t))) for p in halves]
+        log_p = logs[1 - r.doc_id % 2] if r.trusted else sum(logs) / 2
+        assert r.perplexity == pytest.approx(math.exp(-log_p / len(t)), rel=1e-5)
 
 
 def test_quality_without_trust(spark):
@@ -91,57 +107,11 @@ def test_quality_without_trust(spark):
 
 
 def test_quality_limit_is_the_quantile(spark):
-    docs = frame(spark, [(i, " ".join(random.Random(i).choices("alpha beta gamma delta".split(), k=30))) for i in range(30)] + [(40, "beta " * 30)])
+    docs = frame(spark, [(i, " ".join(random.Random(i).choices("alpha beta gamma delta".split(), k=30))) for i in range(30)] + [(40, "beta " * 30), *ODD])
     trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
     got = quality.classify(docs, trusted).collect()
-    assert {r.limit for r in got} == {max(r.perplexity for r in got if r.doc_id < 30)}
-
-
-def plain_word_model(texts):
-    """log-probability and number of predicted words of a token list, under the model of the texts, by dictionaries."""
-    tri = Counter(g for t in texts for g in zip(["<s>", "<s>", *t], ["<s>", *t], [*t, "</s>"], strict=False))
-    orders = [None, None, None, tri]
-    for k in (2, 1):
-        orders[k] = Counter(g[1:] for g in orders[k + 1])
-    d = [quality.discounts([0, *(list(c.values()).count(n) for n in range(1, 5))]) if c else None for c in orders]
-    off = lambda k, n: d[k][min(n, 3)]
-    return orders, off
-
-
-def plain_log_p(model, kinds, text):
-    orders, off = model
-    below = {}
-    for k in (1, 2, 3):
-        for g, n in orders[k].items():
-            z, t = below.get(g[:-1], (0.0, 0))
-            below[g[:-1]] = z + off(k, n), t + n
-
-    def p(g):
-        if not g:
-            return 1 / (kinds + 1)
-        z, t = below.get(g[:-1], (1.0, 1))
-        n = orders[len(g)].get(g, 0)
-        return (n - off(len(g), n)) / t * (n > 0) + z / t * p(g[1:])
-
-    return sum(math.log(p(g)) for g in zip(["<s>", "<s>", *text], ["<s>", *text], [*text, "</s>"], strict=False))
-
-
-@pytest.mark.parametrize("head", [0, 5, 1 << 20])
-def test_word_model_is_kneser_ney(spark, monkeypatch, head):
-    monkeypatch.setattr(word_model, "HEAD", head)
-    texts = [" ".join(random.Random(i).choices("The cat, sat on a mat and saw 12 dogs !!".split(), k=5 + i)) for i in range(24)]
-    rows = [*((i, t) for i, t in enumerate(texts)), (50, "dogs zebra the the ?? cat"), (50, "dogs zebra the the ?? cat"), (51, "é"), (52, " "), (None, "the mat and saw 9 dogs")]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "'en' AS lang", "text", "coalesce(doc_id < 24, false) AS trusted", "cast(coalesce(doc_id, 0) % 2 AS int) AS half")
-    got = word_model.score(docs, word_model.WordModel(docs.filter("trusted").select("text", "half"))).collect()
-    tokens = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^\s0-9a-z\x80-\U0010ffff]+", re.sub(r"\d", "0", t.lower()))
-    halves = [plain_word_model([tokens(t) for t in texts[h::2]]) for h in (0, 1)]
-    kinds = len({w for t in texts for w in tokens(t)} | {"</s>"})
-    want = []
-    for i, t in rows:
-        used = [halves[1 - i % 2]] if i is not None and i < 24 else halves
-        log_p = sum(plain_log_p(m, kinds, tokens(t)) for m in used) / len(used)
-        want.append((str(i), len(t.encode()), round(math.exp(-log_p / (len(tokens(t)) + 1)), 3) if tokens(t) else None))
-    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.n_bytes, r.perplexity and round(r.perplexity, 3))) for r in got)
+    assert len(got) == 31 + len(ODD) and {r.limit for r in got} == {max(r.perplexity for r in got if r.doc_id is not None and r.doc_id < 30 and r.perplexity)}
+    assert all(r.keep == (r.perplexity is not None and r.perplexity <= r.limit) for r in got)
 
 
 def test_quality_sees_the_order_of_words(spark):
@@ -152,7 +122,7 @@ def test_quality_sees_the_order_of_words(spark):
     mixed, turned = [sentences(i) for i in range(70, 80)], [sentences(i) for i in range(80, 90)]
     for i, t in enumerate(mixed):
         random.Random(i).shuffle(t)
-    rows = [(i, " ".join(sentences(i))) for i in range(70)] + [(100 + i, " ".join(t)) for i, t in enumerate(mixed)] + [(200 + i, " ".join([t[i]] * 90)) for i, t in enumerate(turned)]
+    rows = [(i, " ".join(sentences(i))) for i in range(70)] + [(100 + i, " ".join(t)) for i, t in enumerate(mixed)] + [(200 + i, "".join(reversed(" ".join(t)))) for i, t in enumerate(turned)]
     got = quality.classify(frame(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).collect()
     assert not any(r.keep for r in got if r.doc_id >= 100) and sum(r.keep for r in got if 60 <= r.doc_id < 70) >= 8
 
