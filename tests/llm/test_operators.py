@@ -395,6 +395,39 @@ def test_exact_topk_searches_each_length(spark):
     assert got == want and len(want) == 16
 
 
+@pytest.mark.parametrize("size", [1.0, 1e6, 3e6])
+def test_exact_topk_against_big_integers(spark, size):
+    rng = np.random.default_rng(2)
+    close = rng.standard_normal(64)
+    rows = [(i, ((close + 1e-3 * rng.standard_normal(64) if i % 2 else rng.standard_normal(64)) * size).tolist()) for i in range(500)] + [(None, [1.0] * 64), (40, [1.0] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_topk.top_k(df, F.col("id") % 20 == 0, k=20, block=640).collect()}
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None]
+    for i in range(0, 500, 20):
+        own = [v for j, v in good if j == i]
+        want = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for q in own for j, v in good if j != i)[:20]
+        assert [got[i, r + 1] for r in range(20)] == [(j, -s) for s, j in want]
+
+
+def test_exact_topk_past_bigint(spark):
+    df = spark.createDataFrame([(i, [1e8 + i] * 64) for i in range(21)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="BIGINT"):
+        exact_topk.top_k(df, F.col("id") % 20 == 0).collect()
+
+
+def test_segment_bounds_prune():
+    rng = np.random.default_rng(3)
+    q, c = (exact_topk.Side(np.arange(n) + 1000 * n, rng.integers(-200, 200, (n, 64))) for n in (30, 400))
+    true = q.x @ c.x.T
+    for own, other in zip(q.levels, c.levels, strict=True):
+        assert (own @ other.T + 1e-6 >= true).all()
+    search = exact_topk.Search(q, 5, np.sort(true, axis=1)[:, -5])
+    search.see(c)
+    i, ids, score = search.cut()
+    assert (np.bincount(i) == 5).all() and (score.reshape(30, 5) == -np.sort(-true, axis=1)[:, :5]).all()
+    assert search.tested[-1] < 0.75 * true.size and (np.diff(search.tested) <= 0).all()
+
+
 # --- 10 decontamination ----------------------------------------------------------------
 
 
