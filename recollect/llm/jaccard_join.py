@@ -24,8 +24,9 @@ Before texts are fetched for a pair of step 2 or 4, its outlines are compared: t
 of a set's shingles by hash bucket.  Their distance never exceeds the number of shingles
 that only one set has, so a pair whose outlines are too far apart can't link.
 
-The boundary is the size with the lowest estimated cost of 3 and 4.  Nodes just below
-it also enter the lists, as a heavy partner may be that small.
+The boundary is the size with the lowest estimated cost of 3 and 4: subsets to write
+against list entries to scan, by the lists' lengths.  Nodes just below it also enter the
+lists, as a heavy partner may be that small.
 
 "Rarest first" is a total order by a count and then by hash.  The count is that of all
 shingles of different sets (within a task) that share one of `COUNTERS` counters; it
@@ -56,7 +57,8 @@ COUNTERS, COUNTER_SLICE = 1 << 22, 1 << 16
 BITMAP_BITS = 1 << 23
 SKETCH_WORDS = 8
 MOST_LIGHT = 12
-VERIFY_COST = 3.0
+SCAN_COST = 2.0  # of reading a list entry, against writing a subset
+RARITY_STEPS = 1500  # per doubling
 PAIR_BATCH = 64
 TURNS = 5
 
@@ -120,26 +122,48 @@ def subset_keys(s: np.ndarray, boundary: int, percent: int) -> list[tuple[int, i
     return out
 
 
-def choose_boundary(sizes: dict[int, int], percent: int) -> int:
-    """The light-heavy boundary of least cost, from the number of sets of each small size."""
+def choose_boundary(sizes: dict[int, tuple[int, float]], percent: int) -> int:
+    """The light-heavy boundary of least cost.  sizes: for each small set size, how many sets have it and the total length of the inverted lists of their prefixes."""
 
     def cost(limit: int) -> float:
         total = 0.0
-        for n, count in sizes.items():
+        for n, (count, scanned) in sizes.items():
             if n <= limit:
                 total += count * sum(comb(n, overlap(n, m, percent)) for m in partner_sizes(n, percent) if 1 <= m <= limit)
             if 100 * n > percent * limit:
-                total += count * prefix_length(n, percent) * VERIFY_COST
+                total += scanned * SCAN_COST
         return total
 
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
+def _small_sizes(nodes: DataFrame, rarity: np.ndarray, percent: int) -> dict[int, tuple[int, float]]:
+    """What `choose_boundary` asks for; a list is as long as its shingle's counter says."""
+    sent = nodes.sparkSession.sparkContext.broadcast(rarity)
+
+    def measure(batches):
+        order = sent.value
+        for batch in batches:
+            n, scanned = [], []
+            for packed in batch.column(0).to_pylist():
+                s = np.frombuffer(packed, np.uint64)
+                places = (_prefix(s, order, prefix_length(len(s), percent)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+                n.append(len(s))
+                scanned.append(float((np.exp2(order[places] / RARITY_STEPS) - 1).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(scanned, pa.float64())], ["n", "scanned"])
+
+    small = map_texts(nodes.filter("small is not null").select("small"), measure, "n long, scanned double")
+    return {r["n"]: (r["c"], r["s"]) for r in small.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("scanned").alias("s")).collect()}  # a row for each small size
+
+
 def outline(s: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each bucket (255 at most); the number of buckets, a power of two, grows with the set."""
+    """How many shingles of a set fall into each bucket; the number of buckets, a power of two, grows until a byte holds every count."""
     buckets = max(64, 1 << (len(s) // 4).bit_length())
-    place = (s & np.uint64(buckets - 1)).astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=buckets), 255).astype(np.uint8)
+    while True:
+        counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        buckets *= 2
 
 
 def outline_distance(x: np.ndarray, y: np.ndarray) -> int:
@@ -158,16 +182,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
     """One row (kind 0) for each document: its set's name, size, minima and outline; and rows (kind 1) of a task's counters."""
-    names = ["kind", "doc_id", "text_key", "node", "n", *[f"m{j}" for j in range(BINS)], "packed"]
+    names = ["kind", "doc_id", "text_key", "node", "n", *[f"m{j}" for j in range(BINS)], "packed", "small"]
 
     def run(batches):
         edges = np.arange(BINS, dtype=np.uint64) << np.uint64(60)
         counts, seen = np.zeros(COUNTERS, np.int64), {0}
         held, held_n = [], 0
+
+        def add() -> None:
+            place, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[place.astype(np.int64)] += n
+
         for batch in batches:
             column = T.text_column(batch, "text")
             for lo, hi in T.slices(column):
-                node, n, packed = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), []
+                node, n, packed, small = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), [], []
                 minima = np.zeros((BINS, hi - lo), np.int64)
                 for k, s in enumerate(shingle_sets(*T.flat(column, lo, hi), size)):
                     node[k], n[k] = set_name(s), len(s)
@@ -176,24 +205,26 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                     some = at < end
                     minima[some, k] = s[at[some]].view(np.int64)
                     packed.append(outline(s).tobytes())
+                    small.append(s.tobytes() if 0 < len(s) <= 2 * MOST_LIGHT else None)
                     if node[k] not in seen:
                         seen.add(int(node[k]))
                         held.append(s & np.uint64(COUNTERS - 1))
                         held_n += len(s)
                 if held_n > 1_000_000:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
-                    held, held_n = [], 0
+                    add()
+                    held.clear()
+                    held_n = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(node), pa.array(n), *[pa.array(m) for m in minima], pa.array(packed, pa.binary())],
+                    [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(node), pa.array(n), *[pa.array(m) for m in minima], pa.array(packed, pa.binary()), pa.array(small, pa.binary())],
                     names,
                 )
         if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+            add()
         keys, values = _pack(counts)
         zero = pa.array(np.zeros(len(keys), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), zero, zero, pa.array(keys, pa.int64()), zero, *[zero] * BINS, pa.array(values, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), zero, zero, pa.array(keys, pa.int64()), zero, *[zero] * BINS, pa.array(values, pa.binary()), pa.nulls(len(keys), pa.binary())], names)
 
-    schema = "kind int, doc_id long, text_key long, node long, n long, " + "".join(f"m{j} long, " for j in range(BINS)) + "packed binary"
+    schema = "kind int, doc_id long, text_key long, node long, n long, " + "".join(f"m{j} long, " for j in range(BINS)) + "packed binary, small binary"
     return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run, schema)
 
 
@@ -225,7 +256,7 @@ def _rarity(scanned: DataFrame) -> np.ndarray:
     counts = np.zeros((COUNTERS // COUNTER_SLICE, COUNTER_SLICE), np.int64)
     for r in _add_counters(some.repartition("node")).collect():  # one row for each slice
         counts[r["node"]] = np.frombuffer(zlib.decompress(r["packed"]), "<i8")
-    return np.minimum(np.log2(1 + counts.ravel()) * 1500, 65535).astype(np.uint16)
+    return np.minimum(np.log2(1 + counts.ravel()) * RARITY_STEPS, 65535).astype(np.uint16)
 
 
 def _prefix(s: np.ndarray, rarity: np.ndarray, length: int) -> np.ndarray:
@@ -280,12 +311,12 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     """Those pairs (a, b) of nodes that link, tested on their whole sets."""
     pairs = materialize(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(ends.join(nodes.select("node", F.col("least_doc").alias("doc_id")), "node"))
+    wanted = materialize(ends.join(nodes.select("node", "least_doc", "least_key"), "node"))
     # A bitmap of fixed size keeps most texts that no pair needs out of the shuffle; the join below is exact.
-    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(BITMAP_BITS))
+    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key")), F.lit(BITMAP_BITS))
     bits = np.zeros(BITMAP_BITS, np.uint8)
     place = F.col("slot") + 1  # buckets count from 1
-    filled = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    filled = wanted.select(F.col("least_doc").alias("doc_id"), F.col("least_key").alias("text_key")).select(slot.alias("slot")).groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     for r in filled.collect():  # BITMAP_BITS / 8 bytes at most
         bits[np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")) + 32768 * (r["k"] - 1)] = 1
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -293,12 +324,18 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     def select(batches):
         packed = sent.value
         for batch in batches:
-            slots = batch.column(2).to_numpy(zero_copy_only=False)
+            slots = batch.column(3).to_numpy(zero_copy_only=False)
             mask = (packed[slots >> 3] >> (7 - (slots & 7))) & 1
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask.astype(bool))) for c in batch.columns[:2]], ["doc_id", "text"])
-
-    texts = map_texts(docs.select("doc_id", "text", slot.alias("slot")).filter("doc_id is not null"), select, "doc_id long, text string").join(wanted, "doc_id")
-    texts = materialize(texts.select("node", "text"))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask.astype(bool))) for c in batch.columns[:3]], ["doc_id", "text_key", "text"])
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").withColumn("slot", slot)
+    found = map_texts(keyed, select, "doc_id long, text_key long, text string")
+    texts = found.join(wanted.select("node", F.col("least_doc").alias("doc_id")), "doc_id").select("node", "text")
+    nameless = wanted.filter("least_doc is null").select("node", F.col("least_key").alias("text_key"))
+    if not nameless.isEmpty():  # sets that only rows with null ids hold: one of the rows with the text
+        more = found.filter("doc_id is null").join(nameless, "text_key").dropDuplicates(["node", "text_key"])
+        texts = texts.unionByName(more.select("node", "text"))
+    texts = materialize(texts)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def test(batches):
@@ -352,15 +389,14 @@ def _contract(classed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key = xxhash64(text), n_shingles, component_id), one row for each input row."""
+    """(doc_id, text_key = xxhash64(text), n_shingles, component_id, class), one row for each input row; `class` tells classes apart even where no row has an id, and is null for texts without words."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = materialize(_scan(docs, size))
     rows = scanned.filter("kind = 0").select("doc_id", "text_key", "node", "n")
     minima = [F.min(f"m{j}").alias(f"m{j}") for j in range(BINS)]
-    nodes = materialize(scanned.filter("kind = 0 and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least_doc"), F.first("packed").alias("packed"), *minima))
+    nodes = materialize(scanned.filter("kind = 0 and n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least_doc"), F.min("text_key").alias("least_key"), F.first("packed").alias("packed"), F.first("small").alias("small"), *minima))
     rarity = _rarity(scanned)
-    small = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
-    boundary = choose_boundary(small, percent)
+    boundary = choose_boundary(_small_sizes(nodes, rarity, percent), percent)
 
     bands = F.array(*[F.when((F.col(f"m{j}") != 0) & (F.col(f"m{j + 1}") != 0), F.xxhash64(F.lit(j), f"m{j}", f"m{j + 1}")) for j in range(0, BINS, 2)])
     banded = nodes.select("node", F.explode(bands).alias("band")).filter("band is not null")
@@ -374,7 +410,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         classed = _contract(classed, _verify(docs, nodes, drawn, size, percent))
 
     coded = _prefixes(docs, rarity, size, percent, boundary).filter("n > 0").join(classed.drop("n"), "node").filter(F.col("doc_id").eqNullSafe(F.col("least_doc")))
-    coded = materialize(coded.select("node", "n", "class", "tokens", "keys", "kinds", "sketch"))
+    coded = materialize(coded.dropDuplicates(["node"]).select("node", "n", "class", "tokens", "keys", "kinds", "sketch"))
     light = coded.select("node", F.explode(F.arrays_zip("keys", "kinds")).alias("k")).select("node", "k.keys", "k.kinds")
     heads = light.groupBy("keys").agg(F.min("node").alias("head"), F.bit_or("kinds").alias("sides"), F.count(F.lit(1)).alias("c"))
     heads = materialize(heads.filter("sides = 3 and c > 1").select("keys", "head"))
@@ -408,6 +444,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classed = _contract(classed, _verify(docs, nodes, likely, size, percent))
     classed = _contract(classed, _verify(docs, nodes, _between(pairs, classed).select("a", "b"), size, percent))
 
+    release(banded, coded, heads, lists, posted, pairs)
     least = materialize(classed.groupBy("class").agg(F.min("least_doc").alias("component_id")))
-    named = materialize(classed.join(least, "class").select("node", "component_id"))
-    return rows.join(named, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialize(classed.join(least, "class").select("node", "component_id", "class"))
+    return rows.join(named, "node", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")

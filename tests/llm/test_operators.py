@@ -316,6 +316,34 @@ def test_jaccard_classes(spark, monkeypatch, boundary):
     assert got == classes_by_force(rows)
 
 
+@pytest.mark.parametrize("turns", [0, 5])
+def test_jaccard_rows_without_id(spark, monkeypatch, turns):
+    """A row with a null id bridges two documents, copies of it don't multiply, and null ids alone make classes too."""
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+    base = [f"w{k}" for k in range(64)]
+    near = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(base))
+    other = [f"v{k}" for k in range(50)]
+    rows = [(5, near()), (None, near(3)), (None, near(3)), (1, near(3, 60)), (None, " ".join(other)), (None, " ".join([*other[:-1], "y"])), (9, "a b"), (None, "a b"), (9, "other text of the same id"), *ODD]
+    got = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == classes_by_force(rows)
+    alone = [r["class"] for r in got if r.doc_id is None and r.n_shingles == 46]
+    assert len(alone) == 2 and len(set(alone)) == 1
+
+
+def test_jaccard_hot_passage(spark):
+    """One passage in most documents, whose lists are long, makes no link by itself."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 8, 60])))) for k in range(300)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect())
+    assert got == classes_by_force(rows)
+
+
+def test_boundary_weighs_lists_against_subsets():
+    cheap, dear = {n: (100, 100.0) for n in range(1, 10)}, {n: (100, 1e7) for n in range(1, 10)}
+    assert jaccard_join.choose_boundary(cheap, 80) < jaccard_join.choose_boundary(dear, 80)
+
+
 def test_jaccard_lists_alone(spark, monkeypatch):
     """Without the sure links of step 2, the lists find every link, at similarities on both sides of the bound."""
     monkeypatch.setattr(jaccard_join, "TURNS", 0)
