@@ -10,7 +10,9 @@ Rows repeated under one id count as one document for a key and keep their own ro
 in the result.  A null id is not a document: its lines never count and always stay.
 An empty table gives an empty result; extra columns are ignored unless `keep` names
 them.  All work is done by built-in expressions; a key that sits in a third of all
-documents is counted by partial aggregation and joined by a join that may be split.
+documents is counted by partial aggregation.  The `COMMON_SENT` keys of most documents are
+broadcast to the lines, so no hot key is dealt to one task; keys beyond that number are
+each in few lines and join by a shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import materialize
+
 MARGIN = " \t\n\x0b\x0c\r"
+COMMON_SENT = 500_000
 
 
 def _lower_ascii(text: Column) -> Column:
@@ -45,8 +50,24 @@ def shared_lines(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, te
     )
     held = lines.select("h1", "h2", "id").distinct()
     common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-    common = common.filter(F.col("n") >= min_docs).select("h1", "h2", "last")
-    return lines.join(common, ["h1", "h2"]).filter(F.col("id") < F.col("last")).select("id", "text_key", "pos")
+    common = materialize(common.filter(F.col("n") >= min_docs))
+    least = _least_sent(common)
+    sent, rest = common.filter(F.col("n") >= least).drop("n"), common.filter(F.col("n") < least).drop("n")
+    found = lines.join(F.broadcast(sent), ["h1", "h2"])
+    if least:
+        found = found.unionByName(lines.join(rest, ["h1", "h2"]))
+    return found.filter(F.col("id") < F.col("last")).select("id", "text_key", "pos")
+
+
+def _least_sent(common: DataFrame) -> int:
+    """The least number of documents from which on at most COMMON_SENT keys are left; 0 if that is all of them."""
+    held = common.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()
+    left = 0
+    for r in sorted(held, key=lambda r: -r["n"]):
+        left += r["count"]
+        if left > COMMON_SENT:
+            return r["n"] + 1
+    return 0
 
 
 def drop_shared_lines(

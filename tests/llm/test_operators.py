@@ -206,6 +206,15 @@ def test_line_dedup(spark):
     assert line_dedup.drop_shared_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_is_the_same_when_keys_are_not_sent(spark, monkeypatch):
+    lines = [f"line number {k} that is long enough to count here" for k in range(6)]
+    rows = [(i, "\n".join(lines[k] for k in range(6) if i % (k + 1) == 0)) for i in range(40)]
+    collect = lambda: Counter(map(tuple, line_dedup.drop_shared_lines(frame(spark, rows)).collect()))
+    sent = collect()
+    monkeypatch.setattr(line_dedup, "COMMON_SENT", 2)
+    assert collect() == sent and sum(r[2] > 0 for r in sent) > 30
+
+
 def test_line_dedup_counts_documents_not_rows(spark):
     line = "x" * 45
     rows = [(1, line)] * 9 + [(2, line + "\n" + line), (3, line), (4, line)]
