@@ -33,7 +33,7 @@ from ._spark import map_texts
 
 NONE = np.iinfo(np.int32).max
 BATCHED = 64  # longer pieces are merged one by one
-CACHE = 60_000  # pieces kept by a worker; a slice of text with more distinct pieces holds only its own
+CACHE = 200_000  # pieces kept by a worker; a slice of text with more distinct pieces holds only its own
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -187,13 +187,12 @@ class BytePairCodec:
         distinct = set().union(*found)
         new = distinct.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = distinct
+            self.cache = {p: self.cache[p] for p in distinct.intersection(self.cache)}  # what is in use stays
         self._learn(new)
         for own in found:
             yield list(chain.from_iterable(map(self.cache.__getitem__, own)))
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache = {}
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))

@@ -161,7 +161,8 @@ def test_gradients_match_differences():
 
     raw, offsets = T.flat(pa.array(["bad good words here", "some other text"]), 0, 2)
     w, net, label = toxicity.Words(raw, offsets), toxicity.BiGru(1), np.array([1.0, 0.0], np.float32)
-    index, _ = w.windows()
+    sequence, start, _ = w.sequence()
+    index = sequence[start[[0, -1]][:, None] + np.arange(toxicity.WINDOW)]
 
     def loss():
         logit = net.forward(net.inputs(w), index).astype(float)
@@ -179,7 +180,59 @@ def test_gradients_match_differences():
         assert (up - down) / 2e-2 == pytest.approx(float(grads[name][at]), rel=0.1, abs=1e-4)
 
 
-def test_toxicity_learns_and_covers_every_window(spark):
+def plain_logit(net, w, window):
+    """One window of word numbers through the network, word by word."""
+    p, x = net.p, net.inputs(w)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d, order in (("l", range(len(window))), ("r", reversed(range(len(window))))):
+        h = np.zeros(toxicity.HIDDEN)
+        for t in order:
+            f, u = x[window[t]] @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+            z, r, c = (slice(k * toxicity.HIDDEN, (k + 1) * toxicity.HIDDEN) for k in range(3))
+            new = np.tanh(f[c] + sigmoid(f[r] + u[r]) * u[c])
+            h = new + sigmoid(f[z] + u[z]) * (h - new)
+            states[d, t] = h
+    both = [np.concatenate((states["l", t], states["r", t])) for t in range(len(window))]
+    weight = np.exp([np.tanh(s @ p["A"] + p["a"]) @ p["v"] for s in both])
+    return sum(a * s for a, s in zip(weight / weight.sum(), both, strict=True)) @ p["o"] + p["c"][0]
+
+
+def test_every_overlapping_window_is_scored(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "SIDE_BY_SIDE", 7)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["sun", "moon", "vile", "é", "12", "road"], k=k)) for k in (30, 0, 1, 3, 8, 9, 0, 25)]
+    w, net = toxicity.Words(*T.flat(pa.array(texts), 0, len(texts))), toxicity.BiGru(3)
+    got = {int(t): float(v) for t, _, v in zip(*net.worst(w), strict=True)}
+    want = {}
+    for k, t in enumerate(texts):
+        own = w.number[w.first[k] : w.first[k + 1]]
+        if len(own):
+            want[k] = max(plain_logit(net, w, own[a : a + toxicity.WINDOW]) for a in range(max(1, len(own) - toxicity.WINDOW + 1)))
+        assert len(own) == len(t.split())
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_byte_runs_of_words():
+    import pyarrow as pa
+
+    w = toxicity.Words(*T.flat(pa.array(["abc worthless", "worthy abc"]), 0, 2))
+    runs = defaultdict(set)
+    for g, o in zip(w.long_gram.tolist(), w.long_owner.tolist(), strict=True):
+        runs[o].add(g)
+    by_word = {n: runs[k] for n, k in zip(("abc", "worthless"), w.number[w.first[0] : w.first[1]], strict=True)} | {"worthy": runs[w.number[w.first[1]]]}
+    assert {n: len(r) for n, r in by_word.items()} == {"abc": 1, "worthless": 7 + 6 + 5 + 4, "worthy": 4 + 3 + 2 + 1}
+    assert len(by_word["worthless"] & by_word["worthy"]) == 2 + 1  # worth with and without the start
+
+
+def test_toxicity_of_empty_tables(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.train(empty(spark), labels) is None and toxicity.score(empty(spark), None).count() == 0
+
+
+def test_toxicity_learns_and_reads_whole_texts(spark):
     rng = random.Random(4)
     plain = lambda: " ".join(rng.choices(["sun", "moon", "tree", "lake", "road", "hill", "bird"], k=rng.randrange(20, 60)))
     rows = [(1000 + i, plain() + (" you vile fool " if i % 2 else " ") + plain()) for i in range(300)]
@@ -224,6 +277,19 @@ def test_line_dedup_counts_documents_not_rows(spark):
 # --- 5 byte-level BPE ------------------------------------------------------------------
 
 
+def test_bpe_holds_few_pieces(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    own = bpe.BytePairCodec(bpe.load_ranks(path), public_tokenizers.PATTERN)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(8)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 9))) for _ in range(rng.randrange(0, 30))) for _ in range(4)]
+        assert list(own.encode_all(texts)) == [other.encode_ordinary(t) for t in texts]
+        assert len(own.cache) <= 50
+    assert bpe.round_trip(empty(spark), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_bpe_is_the_library(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     own = bpe.BytePairCodec(bpe.load_ranks(path), public_tokenizers.PATTERN)
