@@ -144,6 +144,54 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert got[1].n_entities == 5
 
 
+def test_surrogates_of_every_mention_of_a_person(spark):
+    rows = [
+        (1, "Mr. John Smith wrote. Later John Smith called. John is nice, says JOHN; a john is not."),
+        (2, "Dr. Anna Kern came. Mrs. Anna Kern sat. Mrs. ANNA KERN left with Annabel, Kernel and Anna."),
+        (3, "Dr. Γιώργος Παπαδόπουλος και ο Παπαδόπουλος"),
+        (4, "Prof. Ivo Rau and Herr Rau"),
+        (5, "John Smith has no title here."),
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(frame(spark, rows), "key").collect()}
+    m = re.fullmatch(r"Mr\. (\S+) (\S+) wrote\. Later (\S+) (\S+) called\. (\S+) is nice, says (\S+); a john is not\.", got[1])
+    assert m[1] == m[3] == m[5] and m[6] == m[1].upper() and m[2] == m[4] and not {"John", "Smith"} & set(m.groups())
+    m = re.fullmatch(r"Dr\. (\S+) (\S+) came\. Mrs\. (\S+) (\S+) sat\. Mrs\. (\S+) (\S+) left with Annabel, Kernel and (\S+)\.", got[2])
+    assert m[1] == m[3] == m[7] and m[5] == m[1].upper() and m[2] == m[4] and m[6] == m[2].upper()
+    assert m[1].endswith(tuple(surrogates.LATIN[2]["f"])) and got[4].split()[1].endswith(tuple(surrogates.LATIN[2]["m"]))
+    m = re.fullmatch(r"Dr\. (\S+) (\S+) και ο (\S+)", got[3])
+    assert m[2] == m[3] != "Παπαδόπουλος" and all("\u0370" <= c <= "\u03ff" for c in m[1] + m[2])
+    assert got[5] == rows[4][1]
+
+
+def iban_ok(text):
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_surrogates_of_numbers_and_keys(spark):
+    found = ["123-45-6789", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "2001:db8::ff00:42", "AKIA" + "ABCD1234" * 2, "ghp_" + "aB3" * 12, "0123abcdef" * 20, "jörg.müller@post.de", "221 Baker Street", "Hauptstraße 12", "12 rue de Rivoli"]
+    left = ["DE89 3704 0044 0532 0130 01", "12:30:45", "2020-01-02", "ABCD", "10 Downing"]
+    rows = [(k, f"see {x} now") for k, x in enumerate(found + left)] + [(99, "SSN 123456789 or 123-45-6789 and " + found[1].replace(" ", ""))]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(frame(spark, rows), "key").collect()}
+    for k, x in enumerate(found):
+        new = got[k][4:-4]
+        assert new != x and re.sub(r"\w", "w", new) == re.sub(r"\w", "w", x), x
+        assert [c.isdigit() for c in new if x[:4] == "221 "] == [c.isdigit() for c in x if x[:4] == "221 "]
+    assert iban_ok(found[1]) and iban_ok(got[1][4:-4]) and iban_ok(got[2][4:-4]) and got[1][4:6] == "DE"
+    assert got[4].startswith("see AKIA") and got[5].startswith("see ghp_") and got[8].endswith("Street now") and "straße" in got[9] and "rue de" in got[10]
+    assert [got[len(found) + k] for k in range(len(left))] == [f"see {x} now" for x in left]
+    assert got[0][4:-4] in got[99] and got[1][4:-4].replace(" ", "") in got[99]
+
+
+def test_surrogates_in_a_crowded_format(spark):
+    """Every telephone number of a small format is a real one: surrogates grow by a digit."""
+    rows = [(k, f"({k:02d}) 000-0000") for k in range(100)] + [(1000, "Mr. Bo")]
+    values = spark.createDataFrame([("phone", f"{k:02d}") for k in range(100)], "kind string, value string")
+    made = {r.value: r.made for r in surrogates.assign(values, "key").collect()}
+    assert len(set(made.values())) == 100 and not set(made) & set(made.values())
+    assert len({r.text for r in surrogates.replace_entities(frame(spark, rows), "key").collect()}) == 101
+
+
 def test_surrogates_stay_distinct_in_a_small_space(spark):
     docs = frame(spark, [(i, f"{c}@{d}.co") for i, (c, d) in enumerate((c, d) for c in "abcdef" for d in "xyzw")])
     got = [r.text for r in surrogates.replace_entities(docs, "key").collect()]
