@@ -36,10 +36,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_more  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -132,9 +135,9 @@ def recall_scoped(spark, d):
     return _hits(_sem(spark, d, scope="tenant/1"))
 
 
-@query("SELECT sk, ham, score, round(dist, 6) AS dist FROM (SELECT * FROM pool ORDER BY ham, sk LIMIT 10) WHERE scope='tenant/1' ORDER BY score, sk LIMIT 10")
+@query("SELECT sk, ham, score, round(dist, 6) AS dist FROM (SELECT * FROM pool ORDER BY ham, sk LIMIT 120) WHERE scope='tenant/1' ORDER BY score, sk LIMIT 120")
 def recall_scoped_historical(spark, d):
-    return _hits(_sem(spark, d, scope="tenant/1", historical=True, oversample=1))
+    return _hits(recall.recall(store.vectors(spark, d), _q(spark, d), 120, "tenant/1", True, oversample=1))
 
 
 @query("SELECT sk, ham FROM ham ORDER BY ham, sk LIMIT 10")
@@ -172,22 +175,22 @@ def recall_at_k_quality(spark, d):
 
 
 @query("""
-, blocks AS (SELECT sk, b, list_transform(range(b*16+1, b*16+17), lambda i: CASE WHEN v[i]>0 THEN 1 ELSE 0 END) AS bits,
-   list_transform(range(b*16+1, b*16+17), lambda i: CASE WHEN qv[i]>0 THEN 1 ELSE 0 END) AS qb FROM vec, q, unnest([0,1,2,3]) AS t(b)),
-near AS (SELECT sk, len(list_filter(range(1,17), lambda i: bits[i]<>qb[i])) AS diff, len(list_filter(range(1,5), lambda i: bits[i]<>qb[i])) AS low FROM blocks)
+, blocks AS (SELECT sk, b, list_transform(range(b*8+1, b*8+9), lambda i: CASE WHEN v[i]>0 THEN 1 ELSE 0 END) AS bits,
+   list_transform(range(b*8+1, b*8+9), lambda i: CASE WHEN qv[i]>0 THEN 1 ELSE 0 END) AS qb FROM vec, q, unnest(range(8)) AS t(b)),
+near AS (SELECT sk, len(list_filter(range(1,9), lambda i: bits[i]<>qb[i])) AS diff, len(list_filter(range(1,5), lambda i: bits[i]<>qb[i])) AS low FROM blocks)
 SELECT DISTINCT sk FROM near WHERE diff=0 OR (diff=1 AND low=1)""")
 def mih_candidates(spark, d):
-    return recall.multi_index_candidates(store.vectors(spark, d), _q(spark, d)).select("sk")
+    return recall.multi_index_candidates(store.vectors(spark, d), _q(spark, d), 8).select("sk")
 
 
 @query("""
-, blocks AS (SELECT sk, ham, b, list_transform(range(b*16+1, b*16+17), lambda i: CASE WHEN v[i]>0 THEN 1 ELSE 0 END) AS bits,
-   list_transform(range(b*16+1, b*16+17), lambda i: CASE WHEN qv[i]>0 THEN 1 ELSE 0 END) AS qb FROM ham, q, unnest([0,1,2,3]) AS t(b)),
-near AS (SELECT sk, ham, len(list_filter(range(1,17), lambda i: bits[i]<>qb[i])) AS diff, len(list_filter(range(1,5), lambda i: bits[i]<>qb[i])) AS low FROM blocks)
+, blocks AS (SELECT sk, ham, b, list_transform(range(b*8+1, b*8+9), lambda i: CASE WHEN v[i]>0 THEN 1 ELSE 0 END) AS bits,
+   list_transform(range(b*8+1, b*8+9), lambda i: CASE WHEN qv[i]>0 THEN 1 ELSE 0 END) AS qb FROM ham, q, unnest(range(8)) AS t(b)),
+near AS (SELECT sk, ham, len(list_filter(range(1,9), lambda i: bits[i]<>qb[i])) AS diff, len(list_filter(range(1,5), lambda i: bits[i]<>qb[i])) AS low FROM blocks)
 SELECT DISTINCT sk, ham FROM near WHERE diff=0 OR (diff=1 AND low=1) ORDER BY ham, sk LIMIT 5""")
 def mih_topk(spark, d):
     q = _q(spark, d)
-    found = recall.multi_index_candidates(store.vectors(spark, d), q)
+    found = recall.multi_index_candidates(store.vectors(spark, d), q, 8)
     return found.select("sk", S.hamming([F.col("w0")], S.query_words(q)).alias("ham")).orderBy("ham", "sk").limit(5)
 
 
@@ -398,9 +401,10 @@ def parse_uri(spark, d):
     return access.parse_uri(store.facts(spark, d).select(F.concat(F.lit("memory://L3/"), "key").alias("uri")))
 
 
-@query("SELECT sk FROM rep WHERE n=2 AND rc=100 OR (more AND (n+1)%4=2 AND 100=5)")
+@query("SELECT sk FROM rep WHERE n=2 AND rc=113 OR (more AND (n+1)%4=2 AND 113=5) UNION ALL SELECT sk FROM rep WHERE more AND (n+1)%4=2 AND n<>2")
 def keys_for_clock(spark, d):
-    return access.keys_for_clock(store.replicas(spark, d), 2, 100)
+    rows = store.replicas(spark, d)
+    return access.keys_for_clock(rows, 2, 113).union(access.keys_for_clock(rows, 2, 5))
 
 
 # --- observability ---------------------------------------------------------------------
@@ -427,9 +431,12 @@ def validate(spark, d):
     return observe.validate(mem, side, store.vectors(spark, d).filter("id % 50 <> 0"))
 
 
-@query("SELECT 64 AS dim, count(*) AS docs, count(*) AS covered, sum(strlen(text))::BIGINT AS text_bytes FROM vec")
+@query("SELECT CASE WHEN id%4=1 THEN 32 ELSE len(v) END::INT AS dim, count(*) AS docs, count(*) FILTER (id%3<>0) AS covered, coalesce(sum(strlen(text)) FILTER (id%3<>0), 0)::BIGINT AS text_bytes FROM vec GROUP BY ALL")
 def era_report(spark, d):
-    return observe.era_report(store.memories(spark, d))
+    """Two sizes of vectors, and every third memory without its companion."""
+    gone = (F.col("layer") == 2) & (F.col("id") % 3 == 0) & F.col("key").startswith("vec/")
+    short = F.when(F.col("id") % 4 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    return observe.era_report(store.memories(spark, d).filter(~gone).withColumn("embedding", short))
 
 
 @query("SELECT (count(*)*86000)::BIGINT AS nanoseconds, 'ok' AS verdict FROM vec")
@@ -468,19 +475,27 @@ def layer_counts(spark, d):
 
 
 @query("""
-, x AS (SELECT sk, importance, least(importance, 0.05+(importance-0.05)*exp(-(greatest(5000-created_tick, 0))/3000.0::DOUBLE)) AS i FROM mem WHERE state=0 AND layer BETWEEN 3 AND 5)
-SELECT sk, round(i, 6) AS new_importance, CASE WHEN i<=0.06 THEN 4 ELSE 0 END AS new_state, abs(i-importance)>1e-7 AS changed FROM x""")
+, r AS (SELECT *, CASE WHEN id%6=0 THEN 4000 ELSE 0 END AS reinforced FROM mem WHERE state=0 AND layer BETWEEN 3 AND 5),
+x AS (SELECT sk, importance, confidence, exp(-greatest(5000-CASE WHEN reinforced<>0 THEN reinforced ELSE created_tick END, 0)/3000.0::DOUBLE) AS f FROM r),
+y AS (SELECT *, greatest(0, least(1, least(importance, 0.05+(importance-0.05)*f))) AS i, greatest(0, least(1, confidence*f)) AS c FROM x)
+SELECT sk, round(i, 6) AS new_importance, round(c, 6) AS new_confidence, CASE WHEN i<=0.06 THEN 4 ELSE 0 END AS new_state, abs(i-importance)>1e-7 OR abs(c-confidence)>1e-7 OR i<=0.06 AS changed FROM y""")
 def decay_importance(spark, d):
-    found = govern.decay(store.memories(spark, d), 5000, 3000, decayed_at=0.06)
-    return found.select("sk", F.round("new_importance", 6).alias("new_importance"), "new_state", "changed")
+    reinforced = F.when(F.col("id") % 6 == 0, 4000).otherwise(0).cast("long")
+    found = govern.decay(store.memories(spark, d).withColumn("last_reinforced", reinforced), 5000, 3000, decayed_at=0.06, with_confidence=True)
+    return found.select("sk", F.round("new_importance", 6).alias("new_importance"), F.round("new_confidence", 6).alias("new_confidence"), "new_state", "changed")
 
 
 @query(f"""
-, n AS (SELECT *, array_to_string(regexp_extract_all({_lower_sql("text")}, '[\\p{{L}}\\p{{N}}]+'), ' ') AS norm FROM rec)
-SELECT norm, count(*) AS n, min(sk) AS first_sk, string_agg(created_tick::VARCHAR, ',' ORDER BY created_tick) AS parents FROM n GROUP BY norm HAVING count(*)>=3 AND strlen(norm)>=8 ORDER BY norm LIMIT 100""")
+, n AS (SELECT *, array_to_string(regexp_extract_all({_lower_sql("text")}, '[\\p{{L}}\\p{{N}}]+'), ' ') AS norm FROM rec),
+g AS (SELECT norm, count(*) AS n, min(sk) AS first_sk, arg_min(text, sk) AS text, string_agg(created_tick::VARCHAR, ',' ORDER BY created_tick) AS parents FROM n WHERE norm<>'' GROUP BY norm HAVING count(*)>=2 AND strlen(arg_min(text, sk))>=8),
+k AS (SELECT *, substr(norm, 1, 1) NOT IN ('d', 'e') AS new FROM g),
+cut AS (SELECT max(norm) AS last, count(*) AS made FROM (SELECT norm FROM k WHERE new ORDER BY norm LIMIT 20))
+SELECT norm, n, first_sk, parents, new FROM k, cut WHERE made<20 OR norm<=last""")
 def consolidate_recurrences(spark, d):
-    found = govern.consolidate(store.recurring(spark, d))
-    return found.select("norm", "n", "first_sk", F.array_join(F.transform("parents", lambda p: p.cast("string")), ",").alias("parents"))
+    """Facts of groups that begin with d or e are there already."""
+    known = govern.consolidate(store.recurring(spark, d), min_repeats=2, most_new=1_000_000).filter("substr(norm, 1, 1) IN ('d', 'e')").select("key", "text")
+    found = govern.consolidate(store.recurring(spark, d), min_repeats=2, most_new=20, known=known)
+    return found.select("norm", "n", "first_sk", F.array_join(F.transform("parents", lambda p: p.cast("string")), ",").alias("parents"), "new")
 
 
 @query("SELECT sk, 3 AS new_state FROM mem WHERE valid_until<=2000 AND state NOT IN (2,3,4)")
@@ -710,14 +725,31 @@ def state_digest(spark, d):
     return audit.state_digest(store.vectors(spark, d).select(F.col("sk").alias("k"), F.concat_ws("|", "text", F.col("state").cast("string")).alias("v")))
 
 
-def _ledger(spark) -> DataFrame:
-    rows = spark.range(1, 11).select(F.col("id").alias("seq"), F.lit("checkpoint").alias("op"), F.concat(F.lit("digest-"), F.col("id").cast("string")).alias("digest"))
-    return audit.chain(rows)
+def _batches(spark, d) -> DataFrame:
+    """Ledger entries over all events: one checkpoint for each kind, whose digest is what its events add up to."""
+    kinds = store.read(spark, d, "events").groupBy("event_type").agg(F.concat(F.sum(F.col("event_id")).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string")).alias("digest"))
+    numbered = kinds.withColumn("seq", F.array_position(F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")]), F.col("event_type")))
+    return numbered.select("seq", F.lit("checkpoint").alias("op"), "digest")
+
+
+_LEDGER_SQL = """
+, e AS (SELECT row_number() OVER (ORDER BY event_type) AS seq, sum(event_id)||'/'||count(*) AS digest FROM events GROUP BY event_type)"""
 
 
-@query("SELECT 10::BIGINT AS entries, true AS gapless, true AS linked, true AS current FROM region WHERE r_regionkey=0")
+@query(_LEDGER_SQL + """ SELECT 'whole' AS ledger, count(*) AS entries, bool_and(seq>0) AS gapless, true AS linked, arg_max(digest, seq)=(SELECT sum(event_id)||'/'||count(*) FROM events WHERE event_type='view') AS current FROM e
+  UNION ALL SELECT 'stale', count(*), true, true, arg_max(digest, seq)='other' FROM e
+  UNION ALL SELECT 'gap', count(*)-1, false, false, true FROM e
+  UNION ALL SELECT 'changed', count(*), true, false, true FROM e""")
 def audit_verify(spark, d):
-    return audit.verify(_ledger(spark), "digest-10")
+    """A ledger over all events as it is, against another state, with an entry left out, and with a digest rewritten."""
+    whole = audit.chain(_batches(spark, d))
+    last = whole.filter("seq = 5").first()["digest"]
+    cases = {"whole": (whole, last), "stale": (whole, "other"), "gap": (whole.filter("seq <> 3"), last), "changed": (whole.withColumn("digest", F.when(F.col("seq") == 2, "forged").otherwise(F.col("digest"))), last)}
+    out = None
+    for name, (ledger, digest) in cases.items():
+        row = audit.verify(ledger, digest).select(F.lit(name).alias("ledger"), "entries", "gapless", "linked", "current")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("SELECT sk, CASE WHEN id%2=0 THEN state ELSE 0 END AS state, CASE WHEN id%2=0 THEN valid_from END AS valid_from FROM vec")

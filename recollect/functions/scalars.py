@@ -8,11 +8,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The importance a layer gives, and the order in which layers are asked for a raw key.
 LAYER_IMPORTANCE = {0: 0.0, 1: 0.0, 2: 0.2, 3: 0.4, 4: 1.0, 5: 0.8, 6: 0.5, 7: 1.0}
 RESOLVE_ORDER = (4, 5, 3, 2, 6, 0, 1, 7)
 # Words that hint at program code.
 CODE_WORDS = ["fn ", "impl ", "struct ", "enum ", "trait ", "def ", "class ", "func ", "function ", "return ", "=> "]
-GREETINGS = ["hi", "hello", "hey", "thanks", "thank you", "ok", "okay", "yes", "no", "bye"]
+# Queries that ask nothing, and how a statement worth keeping begins.
+TRIVIAL = ["ok", "okay", "sim", "não", "obrigado", "thanks", "hi", "hello"]
+CAPTURED = {"preference": ["i prefer ", "eu prefiro "], "decision": ["we decided ", "decidimos "], "constraint": ["constraint:", "restrição:"]}
+LEAST_CAPTURED, MOST_CAPTURED = 12, 2000
+# The labels of content types.
+LABELS = ["text", "json", "code", "embedding", "binary"]
+PROSE = ["text", "json", "code"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -80,14 +87,47 @@ def opaque_scope(*parts: str) -> str:
 
 
 def is_trivial(text: Column) -> Column:
-    clean = F.regexp_replace(ascii_lower(F.trim(text)), r"[.!?]+$", "")
-    return (F.length(clean) < 3) | clean.isin(GREETINGS)
+    """Whether a query asks nothing: empty, a command, or a bare courtesy."""
+    clean = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    return (clean == "") | clean.startswith("/") | clean.isin(TRIVIAL)
 
 
 def capture_class(text: Column) -> Column:
-    """What a statement is about, by how it begins."""
-    low = ascii_lower(F.trim(text))
-    return F.when(low.rlike(r"^(i prefer|i like|i want|please always)\b"), "preference").when(low.rlike(r"^(we decided|decision:|let's use|we will)\b?"), "decision").when(low.rlike(r"^(never|always|must|do not|don't)\b"), "constraint")
+    """What a statement is about, by how it begins; null for what isn't captured."""
+    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    low, kind = F.lower(clean), F.lit(None).cast("string")
+    for name, begins in reversed(CAPTURED.items()):
+        kind = F.when(reduce(lambda a, b: a | b, [low.startswith(b) for b in begins]), name).otherwise(kind)
+    return F.when(F.length(clean) >= LEAST_CAPTURED, kind)
+
+
+def captured_text(text: Column) -> Column:
+    return F.left(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(MOST_CAPTURED))
+
+
+def embedding_dim(payload: Column, has_bits: Column) -> Column:
+    """How many 32-bit floats a payload holds, if it may be a vector."""
+    n = F.octet_length(payload)
+    return F.when((n % 4 == 0) & (has_bits | (n >= 4)), (n / 4).cast("int"))
+
+
+def payload_type(payload: Column, dim: Column | None = None) -> Column:
+    """The label of binary content: a declared dimension, `binary` unless it is UTF-8, else what its text looks like."""
+    found = F.when(F.is_valid_utf8(payload.cast("string")), content_type(payload.cast("string"))).otherwise("binary")
+    return found if dim is None else F.when(dim.isNotNull(), "embedding").otherwise(found)
+
+
+def resolved_type(declared: Column, text: Column, fallback: Column) -> Column:
+    """What the writer declared, else what the text looks like, else the payload's type."""
+    return F.when(declared.isNotNull(), declared).when(F.coalesce(F.length(text), F.lit(0)) == 0, fallback).otherwise(content_type(text))
+
+
+def renders_prose(label: Column) -> Column:
+    return label.isin(PROSE)
+
+
+def checked_label(label: Column) -> Column:
+    return F.when(label.isNull() | label.isin(LABELS), label).otherwise(F.raise_error(F.concat(F.lit("no content type: "), label)))
 
 
 def grounding(query: list[str], hit_tokens: Column) -> Column:

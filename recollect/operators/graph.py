@@ -28,21 +28,28 @@ def associate(edges: DataFrame, new: DataFrame, memories: DataFrame | None = Non
     return edges.unionByName(new.select("kind", "a", "b")).dropDuplicates(["kind", "a", "b"])
 
 
+def refused(new: DataFrame) -> DataFrame:
+    """(kind, a, b, why) of edges that may not be written: an end with `#` or without a name, or an unknown kind."""
+    k = F.when(~F.col("kind").isin(KINDS), "kind").when(F.col("a").contains("#") | F.col("b").contains("#"), "hash").when((F.col("a") == "") | (F.col("b") == ""), "empty")
+    return new.select("kind", "a", "b", k.alias("why")).filter("why is not null")
+
+
 def remove_key(edges: DataFrame, key: str) -> DataFrame:
     return edges.filter((F.col("a") != key) & (F.col("b") != key))
 
 
 def lineage(versions: DataFrame, vid: str, most: int = 100_000) -> DataFrame:
-    """(depth, vid): the chain of last parents, as a recursive query with a guard against cycles."""
-    versions.select("vid", F.when(F.size("parents") > 0, F.element_at("parents", -1)).alias("parent")).createOrReplaceTempView("recollect_versions")
-    spark = versions.sparkSession
-    return spark.sql(
+    """(depth, vid): the chain of last parents, as a recursive query that stops where a version comes again."""
+    last = versions.select("vid", F.when(F.size("parents") > 0, F.element_at("parents", -1)).alias("parent"))
+    return versions.sparkSession.sql(
         f"""
-        WITH RECURSIVE chain(depth, vid, parent) MAX RECURSION LEVEL {most} AS (
-          SELECT 0, vid, parent FROM recollect_versions WHERE vid = '{vid}'
+        WITH RECURSIVE chain(depth, vid, parent, path) MAX RECURSION LEVEL {int(most)} AS (
+          SELECT 0, vid, parent, array(vid) FROM {{versions}} WHERE vid = :start
           UNION ALL
-          SELECT depth + 1, v.vid, v.parent FROM chain JOIN recollect_versions v ON v.vid = chain.parent WHERE v.vid <> '{vid}')
-        SELECT depth, vid FROM chain"""
+          SELECT depth + 1, v.vid, v.parent, array_append(path, v.vid) FROM chain JOIN {{versions}} v ON v.vid = chain.parent WHERE NOT array_contains(path, v.vid))
+        SELECT depth, vid FROM chain""",
+        args={"start": vid},
+        versions=last,
     )
 
 
@@ -72,3 +79,14 @@ def reflect(edges: DataFrame, lesson: str, evidence: DataFrame, opposing: DataFr
     up = evidence.select(F.lit("supports").alias("kind"), F.col("sk").alias("a"), F.lit(lesson).alias("b"))
     against = opposing.select(F.lit("contradicts").alias("kind"), F.col("sk").alias("a"), F.lit(lesson).alias("b"))
     return associate(edges, down.union(up).union(against))
+
+
+def add_parents(versions: DataFrame, more: DataFrame) -> DataFrame:
+    """Versions with further parents (vid, parents) behind those they have, each once."""
+    joined = versions.join(more.select("vid", F.col("parents").alias("_more")), "vid", "left")
+    return joined.withColumn("parents", F.array_distinct(F.concat("parents", F.coalesce("_more", F.array().cast("array<string>"))))).drop("_more")
+
+
+def entity_index(memories: DataFrame) -> DataFrame:
+    """(entity, sk) of all named entities; empty names are left out."""
+    return memories.select(F.explode("entities").alias("entity"), "sk").filter("entity <> ''").distinct()

@@ -39,3 +39,24 @@ def recall_lexical(memories: DataFrame, terms: list[str], k: int, scope: str | N
     top = best.agg(F.max("score").alias("top"))
     hits = best.crossJoin(F.broadcast(top)).join(memories.drop("score"), "sk")
     return visible(hits, scope, historical).withColumn("dist", S.clamp(1 - F.col("score") / F.col("top"))).orderBy(F.desc("score"), "sk")
+
+
+def search_fast(memories: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """`search` without the matched terms."""
+    return search(memories, terms, k).select("sk", "score")
+
+
+def upsert(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Postings (sk, term, tf) after memories changed or went; a text without tokens leaves none."""
+    gone = changed.select("sk") if removed is None else changed.select("sk").union(removed.select("sk"))
+    return index.join(gone.distinct(), "sk", "left_anti").unionByName(postings(changed))
+
+
+def with_primary(hits: DataFrame, memories: DataFrame) -> DataFrame:
+    """Hits (sk, text) with `rel`, the L4, L5 or L3 memory that a companion (L2) belongs to, and `payload_type`, its type or else the hit's own."""
+    place = F.when(F.col("layer") == 4, 0).when(F.col("layer") == 5, 1).otherwise(2)
+    kind = S.content_type(F.col("text"), F.when(F.col("embedding").isNotNull(), F.size("embedding")))
+    owners = memories.filter(F.col("layer").isin(3, 4, 5)).select("key", F.struct(place.alias("place"), F.col("sk").alias("rel"), kind.alias("kind")).alias("o"))
+    owners = owners.groupBy("key").agg(F.min("o").alias("o"))
+    joined = hits.withColumn("key", F.when(F.col("sk").startswith("md/L2/"), F.substring("sk", 7, 4096))).join(owners, "key", "left")
+    return joined.withColumns({"rel": F.col("o.rel"), "payload_type": F.coalesce("o.kind", S.content_type(F.col("text")))}).drop("key", "o")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,55 @@ def scope_distribution(memories: DataFrame) -> DataFrame:
     return memories.filter(F.col("layer").between(3, 5)).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("label")
 
 
+def empty_hint(memories: DataFrame, scope: str = "", mode: str = "semantic") -> DataFrame:
+    """(hint): what to try after a recall without hits; no row for an empty store."""
+    n = memories.agg(F.count(F.lit(1)).alias("docs"))
+    scoped = scope_distribution(memories)
+    own = scoped.agg(
+        F.coalesce(F.sum(F.when(F.col("label") == "(global)", F.col("n"))), F.lit(0)).alias("globals"),
+        F.coalesce(F.sum(F.when(F.col("label") != "(global)", F.col("n"))), F.lit(0)).alias("scoped"),
+        F.coalesce(F.sum(F.when(F.col("label") == scope, F.col("n"))), F.lit(0)).alias("here"),
+    )
+    named = F.array_join(F.transform(F.col("top"), lambda t: F.concat(t["label"], F.lit("("), t["n"].cast("string"), F.lit(")"))), ", ")
+    top = scoped.filter("label <> '(global)'").orderBy("label").limit(4).agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("top"))
+    whole = n.join(own).join(top).filter("docs > 0")  # one row each
+    text = lambda c: c.cast("string")
+    if scope == "":
+        hint = F.when(F.col("scoped") == 0, F.concat(F.lit(f"no hits (mode {mode}); "), text(F.col("globals")), F.lit(" global memories: use the words they were written in, or lexical mode"))).otherwise(
+            F.concat(F.lit("no hits in the global scope, which sees no scoped memories; "), text(F.col("scoped")), F.lit(" are scoped: "), named)
+        )
+    else:
+        hint = F.when((F.col("here") == 0) & (F.col("scoped") > 0), F.concat(F.lit(f"no hits in scope {scope}; known scopes: "), named)).otherwise(F.lit(f"no hits (scope {scope}, mode {mode}): change the query, the mode, or ask for history"))
+    return whole.select(hint.alias("hint"))
+
+
+class Metrics:
+    """Named counters of rows that pass through observed frames; read after the frames' jobs ran."""
+
+    def __init__(self):
+        self.parts: list[tuple[str, Observation]] = []
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self.parts.append((name, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("n"))
+
+    def read(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for name, seen in self.parts:
+            out[name] = out.get(name, 0) + seen.get["n"]
+        return out
+
+    def reset(self) -> None:
+        self.parts = []
+
+
+def success(results: DataFrame) -> DataFrame:
+    """(agent, success_rate, soft_progress) of (agent, task, met, wanted): the share of tasks with every constraint met, and the mean share met."""
+    share = F.col("met") / F.col("wanted")
+    return results.groupBy("agent").agg(F.avg((F.col("met") == F.col("wanted")).cast("double")).alias("success_rate"), F.avg(share).alias("soft_progress"))
+
+
 def health(memories: DataFrame, conflicts: DataFrame) -> DataFrame:
     """One row: documents, vectors, open and all conflicts, dimensions, the eight largest scopes."""
     counts = memories.agg(F.count(F.lit(1)).alias("docs"), F.count("embedding").alias("vectors"), F.array_sort(F.collect_set(F.size("embedding"))).alias("dims_"))
@@ -52,11 +101,14 @@ def profile(memories: DataFrame, node: int, limit: int) -> DataFrame:
     return own.join(texts, "key", "left").select("sk", "importance", F.coalesce("companion", "text").alias("text"))
 
 
-def tensions(conflicts: DataFrame, memories: DataFrame, limit: int = 20) -> DataFrame:
-    """(kind, name): open conflicts and some superseded keys."""
+def tensions(conflicts: DataFrame, memories: DataFrame, limit: int = 20, seen: list[str] | None = None) -> DataFrame:
+    """(kind, name): open conflicts, some superseded keys, and scopes that aren't among the seen ones if those are given."""
     a = conflicts.filter("status = 0").select(F.lit("conflict").alias("kind"), F.col("subject").alias("name"))
     b = memories.filter("state = 1").orderBy("sk").limit(limit).select(F.lit("superseded").alias("kind"), F.col("sk").alias("name"))
-    return a.union(b)
+    if seen is None:
+        return a.union(b)
+    unseen = memories.filter(F.col("layer").between(3, 5) & (F.col("scope") != "") & ~F.col("scope").isin(seen))
+    return a.union(b).union(unseen.select(F.lit("unseen_scope").alias("kind"), F.col("scope").alias("name")).distinct())
 
 
 def percentiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
@@ -65,15 +117,15 @@ def percentiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
     if not n:
         return rows.sparkSession.createDataFrame([], "share double, value double")
     wanted = [(s, min(int(n * s), n - 1)) for s in shares]
-    counted = rows.groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    # Sorted in ranges: offsets of ranges first, then running sums inside a range.
-    ranged = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()).sortWithinPartitions("value").persist()
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    # Each value's place is its count below; a share's value is the first whose place reaches the wanted one.
+    bounds = counted.select(F.percentile_approx("value", [x / 64 for x in range(1, 64)]).alias("b")).first()["b"]
+    part = sum(((F.col("value") > b).cast("int") for b in bounds), F.lit(0))  # by value, so that it is the same whenever it is computed
+    ranged = counted.withColumn("part", part)
     offsets, total = {}, 0
-    for r in ranged.groupBy("part").agg(F.sum("c").alias("c"), F.min("value").alias("v")).orderBy("v").collect():  # a row per range
+    for r in ranged.groupBy("part").agg(F.sum("c").alias("c")).orderBy("part").collect():  # at most 64 rows
         offsets[r["part"]] = total
         total += r["c"]
-    from pyspark.sql import Window
-
     start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("part")]
     upto = F.sum("c").over(Window.partitionBy("part").orderBy("value")) + start
     placed = ranged.select("value", upto.alias("upto"), (upto - F.col("c")).alias("below"))

@@ -36,6 +36,60 @@ def scored(pool: DataFrame, q: list[float]) -> DataFrame:
     return pool.withColumn("score", score).withColumn("dist", F.col("score") / 10000.0)
 
 
+def guard_dimension(memories: DataFrame, dims: int) -> None:
+    """An error unless vectors of this size are there (an empty store accepts any)."""
+    known = indexed_dims(memories)
+    if known and dims not in known:
+        raise ValueError(f"no vectors of {dims} components, only of {known}")
+
+
+def indexed_dims(memories: DataFrame) -> list[int]:
+    """The distinct sizes of the stored vectors, sorted (4096 at most)."""
+    rows = memories.filter("embedding is not null").select(F.size("embedding").alias("n")).distinct().limit(4096).collect()
+    return sorted(r["n"] for r in rows)
+
+
+def guard_written(rows: DataFrame, dims: list[int]) -> DataFrame:
+    """Rows whose vectors may be written: finite, of 1 to 4096 components, and of a known size where sizes are known; others raise an error."""
+    v = F.col("embedding")
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = (F.size(v) < 1) | (F.size(v) > 4096) | odd
+    wrong = ~F.size(v).isin(dims) if dims else F.lit(False)
+    fine = F.when(v.isNull(), v).when(bad, F.raise_error(F.lit("a vector has 1 to 4096 finite components"))).when(wrong, F.raise_error(F.lit("a vector of another size"))).otherwise(v)
+    return rows.withColumn("embedding", fine)
+
+
+def with_effective_scope(memories: DataFrame) -> DataFrame:
+    """Memories with `scope` as it takes effect: a companion (L2) without one of its own has that of its L4, L5 or L3 memory, the first that has any."""
+    place = F.when(F.col("layer") == 4, 0).when(F.col("layer") == 5, 1).otherwise(2)
+    owners = memories.filter(F.col("layer").isin(3, 4, 5) & (F.col("scope") != "")).groupBy(F.col("key").alias("_key")).agg(F.min_by("scope", place).alias("_owner"))
+    joined = memories.join(owners, (F.col("layer") == 2) & (F.col("key") == F.col("_key")), "left")
+    own = F.when(F.coalesce("scope", F.lit("")) != "", F.col("scope"))
+    return joined.withColumn("scope", F.coalesce(own, "_owner", F.lit(""))).drop("_key", "_owner")
+
+
+def rescored(pool: DataFrame, q: list[float]) -> DataFrame:
+    """`scored`, where a payload without a vector of the query's size falls back on its Hamming distance."""
+    words = -(-len(q) // 64)
+    exact = F.size("embedding") == len(q)
+    score = F.when(exact, F.floor(S.cosine_distance(F.col("embedding"), S.literal_vector(q)) * 10000)).otherwise(F.col("ham")).cast("long")
+    dist = F.when(exact, score / 10000.0).otherwise(F.least(F.col("ham") / float(64 * words), F.lit(1.0)))
+    return pool.withColumns({"score": score, "dist": dist})
+
+
+def fit_width(words: Column, width: int) -> Column:
+    """A bit vector at an index's width: cut, or filled up with zeros."""
+    return F.concat(F.slice(words, 1, width), F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(width) - F.size(words), F.lit(0))))
+
+
+def reclaim(index: DataFrame, live: DataFrame, threshold: int = 64) -> DataFrame:
+    """Index rows without those whose memory is gone, once there are `threshold` of them (0: always)."""
+    keys = live.select("sk")
+    if threshold and index.join(keys, "sk", "left_anti").limit(threshold).count() < threshold:
+        return index
+    return index.join(keys, "sk", "left_semi")
+
+
 def visible(pool: DataFrame, scope: str | None = None, historical: bool = False) -> DataFrame:
     """Active memories (all if historical) of one scope; no scope means the global one only."""
     pool = pool if historical else pool.filter("state = 0")
@@ -45,7 +99,9 @@ def visible(pool: DataFrame, scope: str | None = None, historical: bool = False)
 def recall(memories: DataFrame, q: list[float], k: int, scope: str | None = None, historical: bool = False, oversample: int | None = None) -> DataFrame:
     """The k nearest; may be fewer, as filters come after the candidate cut."""
     k = max(k, 1)
-    if not q:
+    if q:
+        guard_dimension(memories, len(q))
+    else:
         return scored(memories.limit(0).withColumn("ham", F.lit(0)), [0.0])
     pool = visible(coarse(memories, q, k * (oversample or S.oversample(len(q)))), scope, historical)
     best = Window.partitionBy("sk").orderBy("score", "ham")
@@ -97,26 +153,63 @@ def entities(memories: DataFrame, wanted: list[str], k: int, scope: str | None =
     return hits.orderBy(F.desc("overlap"), F.desc("importance"), "sk").limit(max(k, 1))
 
 
+def _blocks(words: list[Column], blocks: int) -> list[Column]:
+    """A vector's bits in `blocks` parts of equal size, each as an array of words: whole words, or parts of one."""
+    per = max(1, len(words) // blocks)
+    if len(words) >= blocks:
+        return [F.array(*words[b * per : (b + 1) * per if b < blocks - 1 else len(words)]) for b in range(blocks)]
+    cuts = max(1, blocks // len(words))
+    size = 64 // cuts
+    return [F.array(F.shiftrightunsigned(w, c * size).bitwiseAND(F.lit((1 << size) - 1)) if cuts > 1 else w) for w in words for c in range(cuts)]
+
+
 def multi_index_candidates(memories: DataFrame, q: list[float], blocks: int = 4, probes: int = 4) -> DataFrame:
-    """Memories that agree with the query in a block of bits, the query's low bits flipped one at a time too."""
-    size = 64 // blocks
-    word = F.col("w0")
-    keys = [(b, (S.query_words(q)[0] >> (b * size)) & ((1 << size) - 1)) for b in range(blocks)]
-    probe = [(b, key ^ flip) for b, key in keys for flip in [0, *(1 << p for p in range(probes))]]
-    wanted = memories.sparkSession.createDataFrame(sorted(set(probe)), "block int, bits long")  # blocks * (probes + 1) rows
-    parts = F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(word, b * size).bitwiseAND(F.lit((1 << size) - 1)).alias("bits")) for b in range(blocks)])
-    bucketed = with_words(memories, len(q)).withColumn("p", F.explode(parts)).select("sk", "embedding", "w0", "p.block", "p.bits")
-    return bucketed.join(F.broadcast(wanted), ["block", "bits"]).groupBy("sk").agg(F.first("w0").alias("w0"))
-
-
-def coarse_recall_quality(memories: DataFrame, queries: DataFrame, k: int, factors: list[int]) -> DataFrame:
-    """Share of the exact cosine top-k among the k * factor coarse candidates, over all queries (few: they are broadcast)."""
-    q = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.col("w0").alias("qw")))
-    pairs = memories.select("sk", "embedding", "w0").crossJoin(q)
-    pairs = pairs.select("qid", "sk", F.bit_count(F.col("w0").bitwiseXOR(F.col("qw"))).alias("ham"), S.cosine_distance(F.col("embedding"), F.col("qv")).alias("d"))
-    by_ham, by_cos = Window.partitionBy("qid").orderBy("ham", "sk"), Window.partitionBy("qid").orderBy("d", "sk")
-    exact = pairs.withColumn("rc", F.row_number().over(by_cos)).withColumn("rh", F.row_number().over(by_ham)).filter(F.col("rc") <= k)
-    hits = [F.sum((F.col("rh") <= k * f).cast("int")).alias(str(f)) for f in factors]
-    total = exact.agg(F.count(F.lit(1)).alias("n"), *hits)
+    """(sk, w0, w1, ...) of memories that agree with the query in a block of bits, the low bits of the block's first word flipped one at a time too."""
+    words = [F.col(f"w{k}") for k in range(-(-len(q) // 64))]
+    names = [f"w{k}" for k in range(len(words))]
+    own = _blocks(words, blocks)
+    one = memories.sparkSession.createDataFrame([tuple(S.query_words(q))], ", ".join(f"{n} long" for n in names))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << p).cast("long") for p in range(probes)])
+    keys = F.array(*[F.struct(F.lit(b).alias("block"), bits.alias("bits")) for b, bits in enumerate(own)])
+    wanted = one.select(F.explode(keys).alias("k"), flips.alias("flips")).select("k.block", "k.bits", F.explode("flips").alias("flip"))
+    first = F.col("bits")[0].bitwiseXOR(F.col("flip"))
+    wanted = wanted.select("block", F.transform("bits", lambda x, i: F.when(i == 0, first).otherwise(x)).alias("bits")).distinct()  # blocks * (probes + 1) rows
+    bucketed = with_words(memories.filter(F.size("embedding") == len(q)), len(q)).withColumn("p", F.explode(keys)).select("sk", *names, "p.block", "p.bits")
+    return bucketed.join(F.broadcast(wanted), ["block", "bits"]).groupBy("sk").agg(*[F.first(n).alias(n) for n in names])
+
+
+def coarse_recall_quality(memories: DataFrame, queries: DataFrame, k: int, factors: list[int], most_queries: int = 10_000) -> DataFrame:
+    """Share of the exact cosine top-k among the k * factor coarse candidates, over all queries.
+
+    The queries are broadcast, which their number must allow.  Each task keeps only a query's
+    nearest rows by either distance, and the ranks are taken from those.
+    """
+    names = [c for c in memories.columns if c[0] == "w" and c[1:].isdigit()]
+    few = queries.limit(most_queries + 1).count()
+    if few > most_queries:
+        raise ValueError(f"at most {most_queries} queries at a time")
+    q = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), *[F.col(n).alias(f"q{n}") for n in names]))
+    ham = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"q{n}"))) for n in names), F.lit(0))
+    pairs = memories.select("sk", "embedding", *names).join(q)  # every row against a stated set of queries
+    pairs = pairs.select("qid", "sk", ham.alias("ham"), S.cosine_distance(F.col("embedding"), F.col("qv")).alias("d"))
+    near = lambda column, n: pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(column, "sk"))).filter(F.col("r") <= n)
+    exact, coarse_ = near("d", k).select("qid", "sk"), near("ham", k * max(factors)).select("qid", "sk", F.col("r").alias("rh"))
+    hits = [F.count_if(F.col("rh") <= k * f).alias(str(f)) for f in factors]
+    total = exact.join(coarse_, ["qid", "sk"], "left").agg(F.count(F.lit(1)).alias("n"), *hits)
     rows = F.array(*[F.struct(F.lit(f).alias("factor"), (F.col(str(f)) / F.col("n")).alias("share")) for f in factors])
     return total.select(F.explode(rows).alias("r")).select("r.factor", "r.share")
+
+
+def many_recalls(memories: DataFrame, queries: DataFrame, k: int, oversample: int, most_queries: int = 10_000) -> DataFrame:
+    """(qid, sk, score): the k nearest of each query in one job, cut by Hamming distance first; `queries` has (id, embedding, w0...)."""
+    names = [c for c in memories.columns if c[0] == "w" and c[1:].isdigit()]
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"at most {most_queries} queries at a time")
+    q = F.broadcast(queries.select(F.col("id").alias("qid"), *[F.col(n).alias(f"q{n}") for n in names]))
+    ham = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"q{n}"))) for n in names), F.lit(0))
+    pairs = memories.select("sk", *names).join(q).select("qid", "sk", ham.alias("ham"))
+    pool = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("ham", "sk"))).filter(F.col("r") <= k * oversample).select("qid", "sk", "ham")
+    vectors = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    scored_ = pool.join(memories.select("sk", "embedding"), "sk").join(F.broadcast(vectors), "qid")
+    scored_ = scored_.withColumn("score", F.floor(S.cosine_distance(F.col("embedding"), F.col("qv")) * 10000).cast("long"))
+    return scored_.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("score", "sk"))).filter(F.col("r") <= k).select("qid", "sk", "score")

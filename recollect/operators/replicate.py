@@ -69,3 +69,84 @@ def missing_after(mine: DataFrame, known: DataFrame) -> DataFrame:
 
 def trusted_peers(peers: DataFrame, least: float, most: int = 64) -> DataFrame:
     return peers.filter((F.col("trust") >= least) & ~F.col("revoked")).orderBy(F.desc("trust"), "node").limit(most)
+
+
+def pair_replicas(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Both stores' records (sk, layer, clock, text, state) side by side, as `merge_verdicts` reads them; records of one store only are there too."""
+    side = lambda df, p: df.select("sk", F.col("layer").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("clock", "text", "state")])
+    return side(local, "local").join(side(remote, "remote"), "sk", "full_outer").withColumn("layer", F.coalesce("_local", "_remote")).drop("_local", "_remote")
+
+
+def merge(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(sk, layer, clock, text, state) after remote records were merged in: applied ones replace, clocks join, conflicts and what the remote lacks stay local; a policy's rejects never enter."""
+    rows = merge_verdicts(pair_replicas(local, remote))
+    only_local = F.col("remote_clock").isNull()
+    verdict = F.when(only_local, "kept").otherwise(F.col("verdict"))
+    none = F.lit(None).cast("map<int,bigint>")
+    both = F.when(F.col("local_clock").isNull(), F.col("remote_clock")).otherwise(S.clock_merge(F.col("local_clock"), F.col("remote_clock")))
+    take = verdict == "applied"
+    kept = rows.filter(F.col("local_clock").isNotNull() | take)
+    pick = lambda c: F.when(take, F.col(f"remote_{c}")).otherwise(F.col(f"local_{c}")).alias(c)
+    return kept.select("sk", "layer", F.when(take, both).otherwise(F.coalesce("local_clock", none)).alias("clock"), pick("text"), pick("state"))
+
+
+def export_records(memories: DataFrame, keys: DataFrame) -> DataFrame:
+    """Whole records of the given keys: document, state, validity, metadata."""
+    return memories.join(keys.select("sk").distinct(), "sk", "left_semi")
+
+
+def import_records(memories: DataFrame, records: DataFrame) -> DataFrame:
+    """Memories with the records in place of their own, as they are: nothing ticks, and a record without a validity window clears it."""
+    return memories.join(records.select("sk"), "sk", "left_anti").unionByName(records, allowMissingColumns=True)
+
+
+def evidence(conflicts: DataFrame, current: DataFrame, kept: DataFrame) -> DataFrame:
+    """(conflict, candidate, importance, confidence, created_tick, n_parents) of every candidate: from its present metadata, else from the copy kept with the conflict."""
+    cols = ("importance", "confidence", "created_tick", "n_parents")
+    each = conflicts.select("conflict", F.explode("candidates").alias("candidate"))
+    now = current.select("candidate", *[F.col(c).alias(f"_{c}") for c in cols])
+    old = kept.select("conflict", "candidate", *cols)
+    joined = each.join(now, "candidate", "left").join(old, ["conflict", "candidate"], "left")
+    known = F.col("_importance").isNotNull()
+    return joined.select("conflict", "candidate", *[F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in cols]).filter("importance is not null")
+
+
+def apply_decisions(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(subject, status, winner, losers, merged) after decisions (subject, decision, winner, loser).
+
+    `prefer` takes the winner; `invalidate` the first candidate but the loser; `merge` the
+    first two candidates as one; `escalate` leaves the conflict open.  Resolving again changes nothing.
+    """
+    joined = conflicts.join(decisions.select("subject", "decision", F.col("winner").alias("_w"), F.col("loser").alias("_l")), "subject", "left")
+    other = F.get(F.filter("candidates", lambda c: c != F.col("_l")), 0)
+    winner = F.when(F.col("decision") == "prefer", F.col("_w")).when(F.col("decision") == "invalidate", other).when(F.col("decision") == "merge", F.get("candidates", 0))
+    winner = F.when(F.col("status") == 0, winner)
+    merged = F.when((F.col("status") == 0) & (F.col("decision") == "merge") & (F.size("candidates") > 1), F.slice("candidates", 1, 2))
+    return joined.select("subject", F.when(winner.isNotNull(), 1).otherwise(F.col("status")).alias("status"), winner.alias("winner"), F.when(winner.isNotNull(), F.array_except("candidates", F.array(winner))).alias("losers"), merged.alias("merged"))
+
+
+def dismiss(conflicts: DataFrame, subjects: DataFrame) -> DataFrame:
+    return conflicts.join(subjects.select("subject"), "subject", "left_anti")
+
+
+def upsert_peers(peers: DataFrame, new: DataFrame, most: int = 64) -> DataFrame:
+    """Peers (node, trust, revoked) with new or changed ones; beyond `most` the lowest nodes stay."""
+    return peers.join(new.select("node"), "node", "left_anti").unionByName(new).orderBy("node").limit(most)
+
+
+def revoke(peers: DataFrame, nodes: DataFrame) -> DataFrame:
+    gone = nodes.select("node", F.lit(True).alias("_gone"))
+    return peers.join(gone, "node", "left").withColumns({"revoked": F.coalesce("_gone", "revoked"), "trust": F.when(F.col("_gone"), 0.0).otherwise(F.col("trust"))}).drop("_gone")
+
+
+def gossip_round(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, peer, version) after every node told its neighbours (a, b) what it knows."""
+    told = links.join(known.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "peer", "version")
+    return known.unionByName(told).groupBy("node", "peer").agg(F.max("version").alias("version"))
+
+
+def gossip(known: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """A mesh after some rounds; as many as its longest shortest path make all nodes agree."""
+    for _ in range(rounds):
+        known = gossip_round(known, links)
+    return known

@@ -23,6 +23,57 @@ def remember_exchange(turns: DataFrame) -> DataFrame:
     return last.select(F.explode(rows).alias("r")).select("r.sk", "r.text")
 
 
+def remember_exchange_full(turns: DataFrame) -> DataFrame:
+    """(sk, layer, text, embedding) of all that (ts, user, reply, user_embedding, reply_embedding) turns leave: timed L2 texts, timed L4 vectors, and the last turn under its fixed keys."""
+    none = F.lit(None).cast("array<double>")
+    row = lambda layer, key, text, v: F.struct(F.concat(F.lit(f"md/L{layer}/"), key).alias("sk"), F.lit(layer).alias("layer"), F.col(text).alias("text"), (none if v is None else F.col(v).cast("array<double>")).alias("embedding"))
+    base = S.time_key(F.col("ts"))
+    sides = [("/u", "user", "user_embedding"), ("/a", "reply", "reply_embedding")]
+    timed = F.array(*[row(layer, F.concat(base, F.lit(end)), text, v if layer == 4 else None) for end, text, v in sides for layer in (2, 4)])
+    last = remember_exchange(turns).select("sk", F.substring("sk", 5, 1).cast("int").alias("layer"), "text", none.alias("embedding"))
+    return turns.select(F.explode(timed).alias("r")).select("r.*").unionByName(last)
+
+
+def remember_fact(rows: DataFrame) -> DataFrame:
+    """(sk, text): an L3 text under the time it was learned, for each (ts, text)."""
+    return rows.select(F.concat(F.lit("md/L3/"), S.time_key(F.col("ts"))).alias("sk"), "text")
+
+
+def ensure_meta(docs: DataFrame, meta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sk, importance, confidence, created_tick, made) of wanted memories, with a layer's own values where no metadata are kept; a key without a memory raises an error."""
+    joined = wanted.select("sk").distinct().join(docs.select("sk", "layer"), "sk", "left").join(meta.select("sk", "importance", "confidence", "created_tick"), "sk", "left")
+    by_layer = F.create_map(*[F.lit(x) for kv in S.LAYER_IMPORTANCE.items() for x in kv])[F.col("layer")]
+    held = F.when(F.col("layer").isNull(), F.raise_error(F.concat(F.lit("no memory at "), "sk"))).otherwise(F.col("sk"))
+    made = F.col("created_tick").isNull()
+    return joined.select(held.alias("sk"), F.coalesce("importance", by_layer).alias("importance"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("created_tick", F.lit(0).cast("long")).alias("created_tick"), made.alias("made"))
+
+
+def set_entities(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """Memories with the entity lists of (sk, entities) in place of their own; empty names go, each name stays once."""
+    new = changes.select("sk", F.array_distinct(F.filter("entities", lambda e: e != "")).alias("_new"))
+    return memories.join(new, "sk", "left").withColumn("entities", F.coalesce("_new", "entities")).drop("_new")
+
+
+def set_content_type(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """Memories with the declared types of (sk, content_type), which their L2 companions share; an unknown label raises an error."""
+    named = changes.select("sk", S.checked_label(F.col("content_type")).alias("_type"))
+    companion = named.select(F.regexp_replace("sk", "^md/L[45]/", "md/L2/").alias("sk"), "_type").join(named.select("sk"), "sk", "left_anti")
+    joined = memories.join(named.union(companion), "sk", "left")
+    old = F.col("content_type") if "content_type" in memories.columns else F.lit(None).cast("string")
+    return joined.withColumn("content_type", F.coalesce("_type", old)).drop("_type")
+
+
+def guard_keys(writes: DataFrame, present: DataFrame) -> DataFrame:
+    """Writes (sk, ...) that no other key forbids: a new key that begins a present or new key, or is begun by one, raises an error; overwriting is no conflict."""
+    from .access import prefix_conflicts
+
+    new = writes.select("sk").distinct().withColumn("_new", F.lit(True))
+    pairs = prefix_conflicts(present.select("sk").union(writes.select("sk")))
+    struck = pairs.select("sk").union(pairs.select("other")).distinct().join(new, "sk", "left_semi").withColumn("_struck", F.lit(True))
+    joined = writes.join(struck, "sk", "left")
+    return joined.withColumn("sk", F.when(F.col("_struck"), F.raise_error(F.concat(F.lit("another key begins like "), "sk"))).otherwise(F.col("sk"))).drop("_struck")
+
+
 def remember_semantic(rows: DataFrame, default_scope: str = "") -> DataFrame:
     """(sk, layer, text, embedding, scope): the vector and its companion text for each (key, text, embedding, scope)."""
     scope = F.coalesce(F.nullif(F.col("scope"), F.lit("")), F.lit(default_scope))
@@ -58,7 +109,7 @@ def put(writes: DataFrame, node: int, watermark: int) -> DataFrame:
 
 def supersede(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sk, state, new_parent) of the rows that (old, new) pairs change."""
-    old = pairs.join(memories.select(F.col("sk").alias("old"), "created_tick"), "old")
+    old = pairs.distinct().join(memories.select(F.col("sk").alias("old"), "created_tick"), "old")
     return old.select(F.col("old").alias("sk"), F.lit(1).alias("state"), F.lit(None).cast("long").alias("new_parent")).union(old.select(F.col("new").alias("sk"), F.lit(0), F.col("created_tick")))
 
 
@@ -68,6 +119,11 @@ def transfer(memories: DataFrame, layer: int) -> DataFrame:
     return copy.union(memories.select("sk", "text", F.lit(2), F.lit(None).cast("string")))
 
 
+def transfer_edges(memories: DataFrame, layer: int) -> DataFrame:
+    """(kind, a, b): each copy in another layer is derived from its source."""
+    return memories.select(F.lit("derived_from").alias("kind"), F.concat(F.lit(f"md/L{layer}/"), "key").alias("a"), F.col("sk").alias("b"))
+
+
 def merge_memories(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sk, text, importance, confidence, parents): two memories as one, in the higher layer, for each (a, b, target)."""
     side = lambda p: memories.select(*[F.col(c).alias(f"{p}_{c}") for c in ("sk", "layer", "text", "importance", "confidence")])
@@ -100,6 +156,13 @@ def delete(memories: DataFrame, keys: DataFrame, edges: DataFrame) -> tuple[Data
     return memories.join(gone, "sk", "left_anti"), left.select("kind", "a", "b")
 
 
+def delete_everywhere(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a store without all that hangs on the given keys: memories, state, validity, meta, versions, clock, postings and entity rows by `sk`, relations at either end."""
+    gone = keys.select("sk").distinct()
+    ends = lambda t: t.join(gone.withColumnRenamed("sk", "a"), "a", "left_anti").join(gone.withColumnRenamed("sk", "b"), "b", "left_anti")
+    return {name: ends(t) if name == "relations" else t.join(gone, "sk", "left_anti") for name, t in tables.items()}
+
+
 def set_fields(memories: DataFrame, changes: DataFrame) -> DataFrame:
     """State, scope, importance and confidence from (sk, ...) changes where given; fractions are clamped."""
     names = [c for c in ("state", "scope", "importance", "confidence") if c in changes.columns]

@@ -23,6 +23,60 @@ def replay(log: DataFrame) -> DataFrame:
     return last.filter(F.coalesce(F.octet_length("value"), F.lit(0)) > 0)
 
 
+def replay_whole(log: DataFrame) -> DataFrame:
+    """`replay` of what stands before the first row whose checksum doesn't match, as after a torn write."""
+    torn = corrupt(log).agg(F.min("seq").alias("torn"))
+    return replay(log.join(F.broadcast(torn)).filter(F.col("torn").isNull() | (F.col("seq") < F.col("torn"))).drop("torn"))  # one row
+
+
+def put_many(spark: SparkSession, rows: list[tuple[int, str, bytes]], path: str) -> None:
+    append(spark.createDataFrame(rows, LOG_SCHEMA), path)
+
+
+def delete_key(spark: SparkSession, seq: int, key: str, path: str) -> None:
+    """A write of an empty value."""
+    put_many(spark, [(seq, key, b"")], path)
+
+
+def get(log: DataFrame, key: str) -> DataFrame:
+    """(key, value, seq) of one key; only its rows are read."""
+    return replay(log.filter(F.col("key") == key))
+
+
+def scan_prefix(log: DataFrame, prefix: str) -> DataFrame:
+    """Live rows of the keys that begin so, in key order."""
+    return replay(log.filter(F.col("key").startswith(prefix))).orderBy("key")
+
+
+def snapshot(log: DataFrame, path: str) -> None:
+    """The live rows with their checksum, and in each the sequence number that they stand for."""
+    upto = log.agg(F.max("seq").alias("upto"))
+    live = replay(log).join(F.broadcast(upto))  # one row
+    live.withColumn("crc", F.crc32(F.concat(F.col("key").cast("binary"), "value"))).write.mode("overwrite").parquet(path)
+
+
+def mount(log: DataFrame, saved: DataFrame | None) -> DataFrame:
+    """`replay` from a snapshot and the rows after it; a snapshot that is empty, damaged or disagrees on what it stands for is not used."""
+    if saved is None:
+        return replay(log)
+    seen = saved.agg(F.count(F.lit(1)).alias("n"), F.min("upto").alias("lo"), F.max("upto").alias("hi")).first()
+    if not seen["n"] or seen["lo"] != seen["hi"] or not corrupt(saved).isEmpty():
+        return replay(log)
+    tail = log.filter(F.col("seq") > seen["hi"])
+    return replay(saved.select("seq", "key", "value").unionByName(tail.select("seq", "key", "value")))
+
+
+def checkpoint_working(memories: DataFrame, path: str) -> int:
+    """Write the memories of layers 0 and 1, which live in the session only; returns how many."""
+    rows = memories.filter("layer in (0, 1)")
+    rows.write.mode("append").parquet(path)
+    return rows.count()
+
+
+def prune_working(memories: DataFrame) -> DataFrame:
+    return memories.filter("layer not in (0, 1)")
+
+
 def corrupt(log: DataFrame) -> DataFrame:
     """Rows whose checksum doesn't match."""
     return log.filter(F.crc32(F.concat(F.col("key").cast("binary"), F.coalesce("value", F.lit(b"")))) != F.col("crc"))
@@ -60,6 +114,12 @@ def scan_volume(data: bytes) -> tuple[list[tuple[str, bytes]], int]:
     return out, bad
 
 
+def live_records(records: DataFrame) -> DataFrame:
+    """(path, key, value): the last record of each key in a volume; one without a value deletes it."""
+    last = records.groupBy("path", "key").agg(F.max_by("value", "seq").alias("value"))
+    return last.filter(F.octet_length("value") > 0)
+
+
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq, key, value) of all whole records of volume files."""
 
