@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +48,25 @@ def release(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, most: int) -> DataFrame:
+    """The inner join of rows with `keyed`, whose keys are distinct and say in `weight` how many rows have them.
+
+    The `most` heaviest keys at most are broadcast, so no hot key is dealt to one task; the
+    others, each in few rows, join by a shuffle.
+    """
+    held = keyed.groupBy(F.least(F.col(weight), F.lit(100_000)).alias("w")).count().collect()
+    least, left = 0, 0
+    for r in sorted(held, key=lambda r: -r["w"]):
+        left += r["count"]
+        if left > most:
+            least = r["w"] + 1
+            break
+    found = rows.join(F.broadcast(keyed.filter(F.col(weight) >= least).drop(weight)), on)
+    if least:
+        found = found.unionByName(rows.join(keyed.filter(F.col(weight) < least).drop(weight), on))
+    return found
+
+
 TEXTS_PER_BATCH = 1000
 
 

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import join_hot, materialize
 
 MARGIN = " \t\n\x0b\x0c\r"
 COMMON_SENT = 500_000
@@ -51,25 +51,10 @@ def shared_lines(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, te
     held = lines.select("h1", "h2", "id").distinct()
     common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
     common = materialize(common.filter(F.col("n") >= min_docs))
-    least = _least_sent(common)
-    sent, rest = common.filter(F.col("n") >= least).drop("n"), common.filter(F.col("n") < least).drop("n")
-    found = lines.join(F.broadcast(sent), ["h1", "h2"])
-    if least:
-        found = found.unionByName(lines.join(rest, ["h1", "h2"]))
+    found = join_hot(lines, common, ["h1", "h2"], "n", COMMON_SENT)
     return found.filter(F.col("id") < F.col("last")).select("id", "text_key", "pos")
 
 
-def _least_sent(common: DataFrame) -> int:
-    """The least number of documents from which on at most COMMON_SENT keys are left; 0 if that is all of them."""
-    held = common.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()
-    left = 0
-    for r in sorted(held, key=lambda r: -r["n"]):
-        left += r["count"]
-        if left > COMMON_SENT:
-            return r["n"] + 1
-    return 0
-
-
 def drop_shared_lines(
     docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
