@@ -425,7 +425,8 @@ def test_sharding_law(spark, monkeypatch, one_by_one, sent):
 # --- 8 Jaccard join --------------------------------------------------------------------
 
 
-def classes_by_force(rows):
+def roots_by_force(rows):
+    """The number of shingles of each row and the number of a row of its class."""
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:
         w = words(t, r"[^\x20\x09-\x0d]+")
@@ -441,11 +442,15 @@ def classes_by_force(rows):
             inter = len(sets[a] & sets[b])
             if inter and 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter):
                 parent[find(a)] = find(b)
-    least = {}
-    for k, (i, _) in enumerate(rows):
+    return [(len(s), find(k)) for k, s in enumerate(sets)]
+
+
+def classes_by_force(rows):
+    found, least = roots_by_force(rows), {}
+    for (i, _), (_, root) in zip(rows, found, strict=True):
         if i is not None:
-            least[find(k)] = min(least.get(find(k), i), i)
-    return Counter((i, len(sets[k]), least.get(find(k), i)) for k, (i, _) in enumerate(rows))
+            least[root] = min(least.get(root, i), i)
+    return Counter((i, n, least.get(root, i)) for (i, _), (n, root) in zip(rows, found, strict=True))
 
 
 @pytest.mark.parametrize("boundary", [0, 5])
