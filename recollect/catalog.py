@@ -390,10 +390,13 @@ def prefix_conflicts(spark, d):
     return access.prefix_conflicts(keys)
 
 
-@query("SELECT key, 'hash' AS why FROM (SELECT DISTINCT url||'#'||page_id AS key FROM pages)")
+@query("""
+, k AS (SELECT DISTINCT CASE page_id%6 WHEN 0 THEN url||'#'||page_id WHEN 1 THEN '' WHEN 2 THEN 'a/../'||page_id WHEN 3 THEN url||chr(7) WHEN 4 THEN repeat('k', 4090)||lpad(page_id::VARCHAR, 7, '0') ELSE 'page/'||page_id END AS key FROM pages)
+SELECT key, CASE WHEN key='' THEN 'empty' WHEN strlen(key)>4096 THEN 'long' WHEN contains(key, '#') THEN 'hash' WHEN contains(key, chr(7)) THEN 'control' ELSE 'dots' END AS why FROM k WHERE NOT starts_with(key, 'page/')""")
 def validate_keys(spark, d):
-    keys = store.read(spark, d, "pages").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("key"))
-    return access.bad_keys(keys.distinct())
+    n, number = F.col("page_id") % 6, F.col("page_id").cast("string")
+    key = F.when(n == 0, F.concat("url", F.lit("#"), number)).when(n == 1, "").when(n == 2, F.concat(F.lit("a/../"), number)).when(n == 3, F.concat("url", F.lit("\x07"))).when(n == 4, F.concat(F.repeat(F.lit("k"), 4090), F.lpad(number, 7, "0"))).otherwise(F.concat(F.lit("page/"), number))
+    return access.bad_keys(store.read(spark, d, "pages").select(key.alias("key")).distinct())
 
 
 @query("SELECT 'memory://L3/'||key AS uri, '3' AS layer, key FROM fact")
@@ -418,17 +421,19 @@ def scope_distribution(spark, d):
 @query("""
 , s AS (SELECT CASE WHEN scope='' THEN '(global)' ELSE scope END AS label, count(*) AS n FROM mem WHERE layer BETWEEN 3 AND 5 GROUP BY ALL ORDER BY n DESC, label LIMIT 8)
 SELECT (SELECT count(*) FROM mem) AS docs, (SELECT count(*) FROM vec) AS vectors, (SELECT count(*) FROM verdict WHERE verdict='conflict') AS conflicts,
-  (SELECT count(*) FROM verdict WHERE verdict='conflict') AS open_conflicts, '64' AS dims, (SELECT string_agg(label, ',' ORDER BY n DESC, label) FROM s) AS top_scopes""")
+  (SELECT count(*) FROM verdict WHERE verdict='conflict') AS open_conflicts, (SELECT string_agg(DISTINCT len(v)::VARCHAR, ',') FROM vec) AS dims, (SELECT string_agg(label, ',' ORDER BY n DESC, label) FROM s) AS top_scopes""")
 def health(spark, d):
     return observe.health(store.memories(spark, d), replicate.conflicts_of(store.replicas(spark, d)))
 
 
 @query("""SELECT 'orphan_side_row' AS issue, sk FROM (SELECT DISTINCT b AS sk FROM edge) WHERE sk NOT IN (SELECT sk FROM mem)
-   UNION ALL SELECT 'not_indexed', sk FROM vec WHERE id%50=0""")
+   UNION ALL SELECT 'not_indexed', sk FROM vec WHERE id%50=0 UNION ALL SELECT 'index_orphan', sk||'/gone' FROM vec WHERE id%75=1""")
 def validate(spark, d):
     mem = store.memories(spark, d)
     side = store.relations(spark, d).select(F.col("b").alias("sk")).distinct()
-    return observe.validate(mem, side, store.vectors(spark, d).filter("id % 50 <> 0"))
+    vec = store.vectors(spark, d)
+    gone = vec.filter("id % 75 = 1").select(F.concat("sk", F.lit("/gone")).alias("sk"))
+    return observe.validate(mem, side, vec.filter("id % 50 <> 0").select("sk").union(gone))
 
 
 @query("SELECT CASE WHEN id%4=1 THEN 32 ELSE len(v) END::INT AS dim, count(*) AS docs, count(*) FILTER (id%3<>0) AS covered, coalesce(sum(strlen(text)) FILTER (id%3<>0), 0)::BIGINT AS text_bytes FROM vec GROUP BY ALL")
@@ -628,7 +633,20 @@ def ensure_doctrine(spark, d):
     return write.ensure_doctrine(store.memories(spark, d), "doctrine", "Recall before answering.")
 
 
-@query()
+#: FNV-1a of a list of bytes, as a HUGEINT, and a 64-bit number's bytes in hexadecimal, lowest first.
+_FNV = "list_reduce(list_prepend({start}::HUGEINT, {bytes}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+_LOW_FIRST = "array_to_string(list_transform(range(8), lambda i: lpad(lower(to_hex(({x} // (1::HUGEINT << (8*i)) % 256)::BIGINT)), 2, '0')), '')"
+_OFFSET, _OTHER = hashes.OFFSET, hashes.OFFSET ^ hashes.SECOND_LANE
+
+
+def _memory_id_sql(node: str, tick: str, layer: str, key: str) -> str:
+    data = f"list_concat([({node})::HUGEINT], list_transform(range(8), lambda i: (({tick}) // (1::HUGEINT << (8*i)) % 256)::HUGEINT), [({layer})::HUGEINT], list_transform(string_split({key}, ''), lambda c: ord(c)::HUGEINT))"
+    return "||".join(_LOW_FIRST.format(x=_FNV.format(start=start, bytes=data)) for start in (_OFFSET, _OTHER))
+
+
+@query(f"""
+, w AS (SELECT user_id, event_id AS seq, {_memory_id_sql("1", "event_id+1", "3", "'slot/'||user_id")} AS version_id FROM events)
+SELECT 'md/L3/slot/'||user_id AS sk, seq, first_value(version_id) OVER o AS memory_id, version_id, lag(version_id) OVER o AS parent, first_value(seq+1) OVER o AS created_tick FROM w WINDOW o AS (PARTITION BY user_id ORDER BY seq)""")
 def put_versions(spark, d):
     writes = store.read(spark, d, "events").select(F.concat(F.lit("md/L3/slot/"), F.col("user_id").cast("string")).alias("sk"), F.lit(3).alias("layer"), F.concat(F.lit("slot/"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("text"))
     return write.put(writes, 1, 0).select("sk", "seq", "memory_id", "version_id", "parent", "created_tick")
@@ -702,12 +720,16 @@ def trusted_peers(spark, d):
     return replicate.trusted_peers(peers, 100).select("node", F.round("trust", 2).alias("trust"))
 
 
-@query()
+@query(f"SELECT sk, {_memory_id_sql('source', 'created_tick', '4', 'key')} AS memory_id FROM vec")
 def memory_ids(spark, d):
     return store.vectors(spark, d).select("sk", hashes.memory_id(F.col("source"), F.col("created_tick"), F.col("layer"), F.col("key")).alias("memory_id"))
 
 
-@query()
+@query(f"""
+, c AS (SELECT sk AS subject, list_concat(string_split(sk, ''), ['~'], string_split('local:'||sk, ''), ['~'], string_split('remote:'||sk, '')) AS chars FROM verdict WHERE verdict='conflict'),
+h AS (SELECT subject, list_reduce(list_prepend({{'a': {_OFFSET}::HUGEINT, 'b': {_OFFSET}::HUGEINT}}, list_transform(chars, lambda c: {{'a': CASE WHEN c='~' THEN 255 ELSE ord(c) END::HUGEINT, 'b': 0::HUGEINT}})),
+   lambda s, x: {{'a': (xor(s.a, x.a) * 1099511628211) % 18446744073709551616, 'b': ((xor(s.b, x.a) * 1099511628211) + (xor(s.a, x.a) * 1099511628211)) % 18446744073709551616}}) AS h FROM c)
+SELECT subject, {_LOW_FIRST.format(x="h.a")}||{_LOW_FIRST.format(x="h.b")} AS conflict_id FROM h""")
 def conflict_ids(spark, d):
     return replicate.conflicts_of(store.replicas(spark, d)).select("subject", hashes.conflict_id(F.col("subject"), F.col("candidates")).alias("conflict_id"))
 
@@ -720,7 +742,11 @@ def demo_embeddings(spark, d):
 # --- audit and context -----------------------------------------------------------------
 
 
-@query()
+@query(f"""
+, r AS (SELECT sk AS k, text||'|'||state AS v FROM vec),
+b AS (SELECT string_agg(chr(strlen(k)::INT)||repeat('~', 7)||k||chr(strlen(v)::INT)||repeat('~', 7)||v, '' ORDER BY k) AS every FROM r)
+SELECT lpad(lower(to_hex(h // 4294967296)), 8, '0')||lpad(lower(to_hex(h % 4294967296)), 8, '0') AS digest
+FROM (SELECT {_FNV.format(start=_OFFSET, bytes="list_transform(string_split(every, ''), lambda c: (CASE WHEN c='~' THEN 0 ELSE ord(c) END)::HUGEINT)")} AS h FROM b)""")
 def state_digest(spark, d):
     return audit.state_digest(store.vectors(spark, d).select(F.col("sk").alias("k"), F.concat_ws("|", "text", F.col("state").cast("string")).alias("v")))
 
@@ -779,12 +805,13 @@ def rag_context_reranked(spark, d):
 
 @query(f"""
 , l AS (SELECT lex.sk, text, importance, greatest(0, least(1, 1-lex.score/(SELECT max(score) FROM lex))) AS dist FROM lex JOIN fact USING (sk) WHERE state=0 AND scope=''),
-b AS (SELECT sk, text, dist, importance FROM sem UNION ALL SELECT sk, text, dist, importance FROM l),
+b AS (SELECT sk, text, floor(d*10000)/10000 AS dist, importance FROM (SELECT * FROM (SELECT * FROM ham ORDER BY ham, sk LIMIT 160) WHERE state=0 AND scope='' ORDER BY floor(d*10000), sk LIMIT 40) UNION ALL SELECT sk, text, dist, importance FROM l),
 g AS (SELECT *, len(list_filter(['apache','license','label'], lambda t: list_contains(regexp_extract_all({_lower_sql("text")}, '[\\p{{L}}\\p{{N}}]+'), t)))::INT AS grounding FROM b)
 SELECT sk, grounding FROM g ORDER BY grounding DESC, dist, importance DESC, sk LIMIT 10""")
 def rerank_gate(spark, d):
     lex = lexical.recall_lexical(store.facts(spark, d), TERMS, 40)
-    return rag.rerank_gate(_sem(spark, d), lex, ["apache", "license", "label"], K).select("sk", "grounding")
+    semantic = recall.recall(store.vectors(spark, d), _q(spark, d), 4 * K, oversample=4)
+    return rag.rerank_gate(semantic, lex, ["apache", "license", "label"], K).select("sk", "grounding")
 
 
 @query("""SELECT sk, sk||' d='||printf('%.4f', dist)||' '||text AS prose FROM sem""")

@@ -16,10 +16,15 @@ def context_lines(hits: DataFrame, budget: int = 8192, cut: int = 200) -> DataFr
     return rows.withColumn("used", used).filter((F.col("used") <= budget) | F.lit(budget == 0)).drop("used")
 
 
-def context(hits: DataFrame, k: int, budget: int = 8192) -> DataFrame:
-    """One row with the assembled context."""
-    lines = context_lines(hits, budget).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
-    return lines.select(F.concat_ws("\n", F.lit(f"[RAG top-{k}]"), F.transform("l", lambda x: x["line"])).alias("context"))
+def context(hits: DataFrame, k: int, budget: int = 8192, note: str | None = None) -> DataFrame:
+    """One row with the assembled context; a note, if given, follows where hits with a text did not fit."""
+    shown = context_lines(hits, budget).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    text = F.concat_ws("\n", F.lit(f"[RAG top-{k}]"), F.transform("l", lambda x: x["line"]))
+    if note is None:
+        return shown.select(text.alias("context"))
+    wanted = hits.agg(F.count_if(F.coalesce(F.length("text"), F.lit(0)) > 0).alias("n"))
+    cut = F.col("n") > F.size("l")
+    return shown.join(wanted).select(F.when(cut, F.concat(text, F.lit("\n" + note))).otherwise(text).alias("context"))  # one row each
 
 
 def rerank(hits: DataFrame, anchors: list[str], fixed: bool = False) -> DataFrame:

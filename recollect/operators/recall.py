@@ -7,6 +7,8 @@ in the storage key.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,7 +143,7 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Semantic hits first, then lexical ones that aren't among them."""
     a = semantic.select("sk", F.lit(0).alias("part"), F.col("score").cast("double").alias("by"))
     b = lexical.join(a.select("sk"), "sk", "left_anti").select("sk", F.lit(1).alias("part"), (-F.col("score")).alias("by"))
-    return a.union(b).orderBy("part", "by", "sk").limit(k)
+    return a.union(b).orderBy("part", "by", "sk").limit(max(k, 1))
 
 
 def entities(memories: DataFrame, wanted: list[str], k: int, scope: str | None = None, historical: bool = False) -> DataFrame:
@@ -178,38 +180,57 @@ def multi_index_candidates(memories: DataFrame, q: list[float], blocks: int = 4,
     return bucketed.join(F.broadcast(wanted), ["block", "bits"]).groupBy("sk").agg(*[F.first(n).alias(n) for n in names])
 
 
-def coarse_recall_quality(memories: DataFrame, queries: DataFrame, k: int, factors: list[int], most_queries: int = 10_000) -> DataFrame:
-    """Share of the exact cosine top-k among the k * factor coarse candidates, over all queries.
+QUERY_TILE = 64
+
 
-    The queries are broadcast, which their number must allow.  Each task keeps only a query's
-    nearest rows by either distance, and the ranks are taken from those.
+def coarse_many(memories: DataFrame, queries: DataFrame, n: int, most_queries: int = 10_000) -> DataFrame:
+    """(qid, sk, ham, r): the n nearest of each query by (Hamming distance, key), in one job.
+
+    The queries (at most `most_queries`) are sent to the tasks; a task keeps the n nearest rows
+    of each Arrow batch, and only those are ranked.
     """
     names = [c for c in memories.columns if c[0] == "w" and c[1:].isdigit()]
-    few = queries.limit(most_queries + 1).count()
-    if few > most_queries:
+    few = queries.select("id", *names).limit(most_queries + 1).toArrow()
+    if len(few) > most_queries:
         raise ValueError(f"at most {most_queries} queries at a time")
-    q = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), *[F.col(n).alias(f"q{n}") for n in names]))
-    ham = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"q{n}"))) for n in names), F.lit(0))
-    pairs = memories.select("sk", "embedding", *names).join(q)  # every row against a stated set of queries
-    pairs = pairs.select("qid", "sk", ham.alias("ham"), S.cosine_distance(F.col("embedding"), F.col("qv")).alias("d"))
-    near = lambda column, n: pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(column, "sk"))).filter(F.col("r") <= n)
-    exact, coarse_ = near("d", k).select("qid", "sk"), near("ham", k * max(factors)).select("qid", "sk", F.col("r").alias("rh"))
+    words = lambda table: np.stack([np.asarray(table.column(c)).view(np.uint64) for c in range(1, 1 + len(names))])
+    sent = memories.sparkSession.sparkContext.broadcast((few["id"].to_numpy(), words(few)))
+
+    def nearest(batches):
+        ids, asked = sent.value
+        for batch in batches:
+            own, many = words(batch), batch.num_rows
+            place = np.empty(many, np.int64)
+            place[np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable")] = np.arange(many)
+            for lo in range(0, len(ids), QUERY_TILE):
+                tile = asked[:, lo : lo + QUERY_TILE]
+                ham = np.zeros((tile.shape[1], many), np.int64)
+                for a, b in zip(tile, own, strict=True):
+                    ham += np.bitwise_count(a[:, None] ^ b[None, :])
+                order = ham * many + place
+                at = np.argpartition(order, n - 1, axis=1)[:, :n] if many > n else np.broadcast_to(np.arange(many), order.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + QUERY_TILE], at.shape[1])), batch.column(0).take(pa.array(at.ravel())), pa.array(np.take_along_axis(ham, at, 1).ravel().astype(np.int32))], ["qid", "sk", "ham"])
+
+    near = memories.select("sk", *names).mapInArrow(nearest, "qid long, sk string, ham int")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("ham", "sk"))).filter(F.col("r") <= n).select("qid", "sk", "ham", "r")
+
+
+def coarse_recall_quality(memories: DataFrame, queries: DataFrame, k: int, factors: list[int], most_queries: int = 10_000) -> DataFrame:
+    """Share of the exact cosine top-k among the k * factor coarse candidates, over all queries (broadcast, at most `most_queries`)."""
+    near = coarse_many(memories, queries, k * max(factors), most_queries).select("qid", "sk", F.col("r").alias("rh"))
+    q = F.broadcast(queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv")))
+    pairs = memories.select("sk", "embedding").join(q).select("qid", "sk", S.cosine_distance(F.col("embedding"), F.col("qv")).alias("d"))
+    exact = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "sk"))).filter(F.col("r") <= k).select("qid", "sk")
     hits = [F.count_if(F.col("rh") <= k * f).alias(str(f)) for f in factors]
-    total = exact.join(coarse_, ["qid", "sk"], "left").agg(F.count(F.lit(1)).alias("n"), *hits)
+    total = exact.join(near, ["qid", "sk"], "left").agg(F.count(F.lit(1)).alias("n"), *hits)
     rows = F.array(*[F.struct(F.lit(f).alias("factor"), (F.col(str(f)) / F.col("n")).alias("share")) for f in factors])
     return total.select(F.explode(rows).alias("r")).select("r.factor", "r.share")
 
 
 def many_recalls(memories: DataFrame, queries: DataFrame, k: int, oversample: int, most_queries: int = 10_000) -> DataFrame:
     """(qid, sk, score): the k nearest of each query in one job, cut by Hamming distance first; `queries` has (id, embedding, w0...)."""
-    names = [c for c in memories.columns if c[0] == "w" and c[1:].isdigit()]
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"at most {most_queries} queries at a time")
-    q = F.broadcast(queries.select(F.col("id").alias("qid"), *[F.col(n).alias(f"q{n}") for n in names]))
-    ham = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"q{n}"))) for n in names), F.lit(0))
-    pairs = memories.select("sk", *names).join(q).select("qid", "sk", ham.alias("ham"))
-    pool = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("ham", "sk"))).filter(F.col("r") <= k * oversample).select("qid", "sk", "ham")
+    pool = coarse_many(memories, queries, k * oversample, most_queries).select("qid", "sk")
     vectors = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
-    scored_ = pool.join(memories.select("sk", "embedding"), "sk").join(F.broadcast(vectors), "qid")
-    scored_ = scored_.withColumn("score", F.floor(S.cosine_distance(F.col("embedding"), F.col("qv")) * 10000).cast("long"))
-    return scored_.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("score", "sk"))).filter(F.col("r") <= k).select("qid", "sk", "score")
+    both = pool.join(memories.select("sk", "embedding"), "sk").join(F.broadcast(vectors), "qid")
+    scores = both.select("qid", "sk", F.floor(S.cosine_distance(F.col("embedding"), F.col("qv")) * 10000).cast("long").alias("score"))
+    return scores.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("score", "sk"))).filter(F.col("r") <= k).select("qid", "sk", "score")

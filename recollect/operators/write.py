@@ -137,16 +137,37 @@ def merge_memories(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+SIGNALS_PER_RUN = 1000
+
+
 def fold_signals(log: DataFrame, importance: float = 0.5, confidence: float = 0.5) -> DataFrame:
     """(slot, importance, confidence, last): signals applied in order, clamped at every step.
 
-    Clamping each step is not clamping the sum, but a run of signals acts as x -> min(hi, max(lo, x + s)),
-    and such maps compose; each slot's signals are folded in order over one sorted array.
+    Clamping each step is not clamping the sum, but a run of signals acts as the map
+    x -> min(hi, max(lo, x + sum)), and such maps compose.  So each run of a slot's signals
+    becomes one map first, and the slot's maps are composed in order: a hot slot's array
+    holds runs, not signals.
     """
-    acts = log.filter(F.col("op").isin("reinforce", "feedback"))
-    grouped = acts.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("seq", "d_importance", "d_confidence"))).alias("acts"))
-    fold = lambda start, name: F.aggregate("acts", F.lit(start), lambda x, a: S.clamp(x + a[name]))
-    return grouped.select("slot", fold(importance, "d_importance").alias("importance"), fold(confidence, "d_confidence").alias("confidence"), F.element_at("acts", -1)["seq"].alias("last"))
+    names = ("importance", "confidence")
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    step = lambda m, d: F.struct((m["s"] + d).alias("s"), S.clamp(m["lo"] + d).alias("lo"), S.clamp(m["hi"] + d).alias("hi"))
+
+    def after(a, b):
+        held = lambda x: F.least(b["hi"], F.greatest(b["lo"], x + b["s"]))
+        return F.struct((a["s"] + b["s"]).alias("s"), held(a["lo"]).alias("lo"), held(a["hi"]).alias("hi"))
+
+    acts = log.filter(F.col("op").isin("reinforce", "feedback")).withColumn("run", F.floor(F.col("seq") / SIGNALS_PER_RUN))
+    runs = acts.groupBy("slot", "run").agg(F.array_sort(F.collect_list(F.struct("seq", *[f"d_{n}" for n in names]))).alias("acts"))
+    whole = lambda n: F.aggregate("acts", none, lambda m, a: step(m, a[f"d_{n}"]))
+    maps = runs.select("slot", "run", *[whole(n).alias(n) for n in names], F.element_at("acts", -1)["seq"].alias("last"))
+    slots = maps.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("run", *names))).alias("maps"), F.max("last").alias("last"))
+    start = {"importance": importance, "confidence": confidence}
+
+    def value(n):
+        m = F.aggregate("maps", none, lambda a, b: after(a, b[n]))
+        return F.least(m["hi"], F.greatest(m["lo"], F.lit(start[n]) + m["s"])).alias(n)
+
+    return slots.select("slot", *[value(n) for n in names], "last")
 
 
 def delete(memories: DataFrame, keys: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -128,6 +128,19 @@ def test_clamped_fold_is_not_a_clamped_sum(spark):
     assert write.fold_signals(log_).first().importance == pytest.approx(0.7)
 
 
+def test_fold_in_runs_is_the_fold_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(write, "SIGNALS_PER_RUN", 7)
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), k, rng.choice(["reinforce", "feedback", "touch"]), rng.uniform(-0.6, 0.6), rng.uniform(-0.2, 0.2)) for k in range(300)]
+    got = {r.slot: r for r in write.fold_signals(spark.createDataFrame(rows, "slot long, seq long, op string, d_importance double, d_confidence double").repartition(5)).collect()}
+    for slot in range(3):
+        x = y = 0.5
+        for own, k, op, a, b in rows:
+            if own == slot and op != "touch":
+                x, y, last = min(max(x + a, 0), 1), min(max(y + b, 0), 1), k
+        assert (got[slot].importance, got[slot].confidence, got[slot]["last"]) == (pytest.approx(x), pytest.approx(y), last)
+
+
 def test_windows_and_invalidation(spark):
     df = spark.createDataFrame([memory(1, "a", window=(10, 20)), memory(2, "b", window=(50, 60))], MEMORY)
     got = {r.key: (r.valid_from, r.valid_until) for r in write.invalidate(df, 30).collect()}
