@@ -33,7 +33,7 @@ from ._spark import map_texts
 
 NONE = np.iinfo(np.int32).max
 BATCHED = 64  # longer pieces are merged one by one
-CACHE = 200_000  # pieces kept by a worker; a slice of text with more distinct pieces holds only its own
+CACHE = 140_000  # pieces kept by a worker; a slice of text with more distinct pieces holds only its own
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
