@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "seq long, key string, value binary"
 ALIGN = 512
+VOLUME_BYTES = 1 << 26  # a volume this long takes no further key
 
 
 def append(batch: DataFrame, path: str) -> None:
@@ -95,6 +98,19 @@ def encode_record(key: bytes, value: bytes) -> bytes:
     return body + b"\0" * (-len(body) % ALIGN)
 
 
+def pack_volumes(writes: Iterable[tuple[bytes, bytes]], full: int = VOLUME_BYTES) -> Iterator[bytes]:
+    """Volumes of the (key, value) writes in order; writes of one key that follow each other stay in one volume, even if it is full."""
+    out, last = bytearray(), None
+    for key, value in writes:
+        if len(out) >= full and key != last:
+            yield bytes(out)
+            out = bytearray()
+        out += encode_record(key, value)
+        last = key
+    if out:
+        yield bytes(out)
+
+
 def scan_volume(data: bytes) -> tuple[list[tuple[str, bytes]], int]:
     """(records in order, corrupt records): after damage the scan goes on at the next 512-byte boundary."""
     at, out, bad = 0, [], 0
@@ -114,6 +130,20 @@ def scan_volume(data: bytes) -> tuple[list[tuple[str, bytes]], int]:
     return out, bad
 
 
+def through_volumes(writes: DataFrame, full: int = VOLUME_BYTES) -> DataFrame:
+    """(path, seq, key, value) of (seq, key, value) writes, encoded in volumes and read by their bytes; all writes of a key stand in one volume, in the order of `seq`."""
+
+    def volumes(frames):
+        own = TaskContext.get().partitionId()
+        pairs = ((k.encode(), bytes(v)) for frame in frames for k, v in zip(frame["key"], frame["value"], strict=True))
+        for n, data in enumerate(pack_volumes(pairs, full)):
+            found, _ = scan_volume(data)
+            yield pd.DataFrame({"path": f"volume-{own}-{n}", "seq": range(len(found)), "key": [k for k, _ in found], "value": [v for _, v in found]})
+
+    rows = writes.select("seq", "key", F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"))
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(volumes, "path string, seq long, key string, value binary")
+
+
 def live_records(records: DataFrame) -> DataFrame:
     """(path, key, value): the last record of each key in a volume; one without a value deletes it."""
     last = records.groupBy("path", "key").agg(F.max_by("value", "seq").alias("value"))

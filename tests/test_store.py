@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from recollect import catalog
 from recollect.functions import hashes
 from recollect.functions import scalars as S
 from recollect.operators import govern, graph, lexical, observe, recall, replicate, tools, write
@@ -266,6 +268,32 @@ def test_volumes_as_a_data_source(spark, tmp_path):
     assert {(r.key, bytes(r.value), r.volume) for r in got} == {("a", b"3", "one"), ("b", b"2", "one")}
 
 
+def test_volumes_hold_all_writes_of_their_keys():
+    writes = [(f"k{i // 3}".encode(), b"" if i % 9 == 2 else b"%d" % i) for i in range(90)]
+    made = list(log.pack_volumes(writes, 4 * log.ALIGN))
+    held = [log.scan_volume(v)[0] for v in made]
+    assert [r for records in held for r in records] == [(k.decode(), v) for k, v in writes]
+    assert len(made) == 15 and len({k for records in held for k, _ in records}) == sum(len({k for k, _ in records}) for records in held) == 30
+    assert list(log.pack_volumes([])) == []
+
+
+def test_writes_pass_through_volumes_in_their_order(spark):
+    rows = [(s, f"k{i}", None if s == 2 and i % 6 == 0 else f"{i}/{s}".encode()) for s in (2, 0, 1) for i in range(200)]
+    writes = spark.createDataFrame(rows, "seq long, key string, value binary").repartition(7)
+    read = log.through_volumes(writes, 10 * log.ALIGN).collect()
+    assert len(read) == len(rows) and len({r.path for r in read}) > 10
+    live = {r.key: bytes(r.value).decode() for r in log.live_records(log.through_volumes(writes, 10 * log.ALIGN)).collect()}
+    assert live == {f"k{i}": f"{i}/2" for i in range(200) if i % 6}
+
+
+def test_volume_records_of_many_vectors(spark, tmp_path):
+    """Linear in the records: one volume that was copied for each record took minutes."""
+    spark.range(40_000).select(F.col("id").alias("vec_id"), (F.col("id") % 10).alias("label"), F.array(F.lit(1.0)).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    began = time.monotonic()
+    got = {r.key: r.value for r in catalog.queries()["volume_records"](spark, str(tmp_path)).collect()}
+    assert got == {f"vec/{i:08}": f"v{i}" for i in range(40_000) if i % 6} and time.monotonic() - began < 60
+
+
 def test_document_records_cut_anywhere():
     whole = documents.encode(4, "é/k", {1: 5, 200: 2**40}, b"payload", [1, -1])
     assert documents.decode(whole) == (4, "é/k", {1: 5, 200: 2**40}, b"payload", [1, -1], None)
